@@ -79,6 +79,23 @@ FROM {lineitem}""",
 SELECT p_partkey AS node_id, CAST(-121.70 + 0.0001 * (p_partkey * 31 % 1500) AS DOUBLE) AS lon,
        CAST(39.70 + 0.0001 * (p_partkey * 17 % 600) AS DOUBLE) AS lat, p_type AS tag
 FROM {part}""",
+    # Entities as the store keeps them.
+    "stored_events": """
+SELECT risk_event_id, change_id, asset_id, distance_meters, risk_score,
+       CASE WHEN risk_score >= 75 THEN 3 WHEN risk_score >= 50 THEN 2 WHEN risk_score >= 25 THEN 1 ELSE 0 END AS risk_level,
+       CASE WHEN is_acknowledged THEN created_at END AS acknowledged_at,
+       CASE WHEN is_dismissed THEN created_at END AS dismissed_at, created_at
+FROM {risk_events}""",
+    "stored_changes": """
+SELECT change_id, run_id, lon, lat, half_size_deg, area_sq_meters, ndvi_drop_mean,
+       ndvi_drop_mean + CAST(0.1 AS DOUBLE) AS ndvi_drop_max,
+       CASE WHEN is_landslide THEN 6 WHEN ndvi_drop_mean < -0.2 THEN 1 WHEN ndvi_drop_mean > 0.2 THEN 2 ELSE 0 END AS change_type,
+       slope_degree_mean, detected_at, land_cover_class,
+       CASE WHEN is_landslide THEN CAST(0.8 AS DOUBLE) END AS ml_confidence,
+       CASE WHEN is_landslide THEN CASE WHEN area_sq_meters > 30000 THEN 'v2' ELSE 'v1' END END AS ml_model_version
+FROM {changes}""",
+    "stored_runs": """
+SELECT run_id, aoi_id, status, before_date, after_date, after_date AS created_at FROM {runs}""",
     # Runs with scenes and dates of the scene period, so that catalog checks have something to skip.
     "scene_runs": """
 SELECT concat('run-s-', user_id % 5, '-', user_id % 20) AS run_id, concat('aoi-', user_id % 5) AS aoi_id,
