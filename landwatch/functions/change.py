@@ -21,8 +21,12 @@ def null_if_not_finite(value: Column) -> Column:
 
 
 def changed(diff: Column, threshold: float = -0.2) -> Column:
-    """1 where the difference is strictly below the threshold; missing values count as unchanged."""
-    return F.coalesce((F.nanvl(diff.cast("double"), F.lit(None).cast("double")) < threshold).cast("int"), F.lit(0))
+    """1 where the difference is strictly below the threshold; missing values count as unchanged.
+
+    The threshold is taken in single precision, as the difference raster is.
+    """
+    limit = F.lit(threshold).cast("float").cast("double")
+    return F.coalesce((F.nanvl(diff.cast("double"), F.lit(None).cast("double")) < limit).cast("int"), F.lit(0))
 
 
 CROPS = ["AnnualCrop", "PermanentCrop"]
