@@ -87,7 +87,7 @@ def alert_rows(events: DataFrame, minimum: dict[str, int]) -> DataFrame:
     fired = F.filter(channels, lambda ch: c("risk_level") >= ch["min_level"])
     body = F.to_json(F.struct(
         c("risk_event_id").alias("riskEventId"), c("asset_id").alias("assetId"), c("risk_score").alias("riskScore"),
-        name_of(RISK_LEVELS, c("risk_level")).alias("riskLevel"), c("distance_meters").alias("distanceMeters")))
+        name_of(RISK_LEVELS, c("risk_level")).alias("riskLevel"), c("distance_meters").alias("distanceMeters"), c("created_at").alias("createdAt")))
     return (events.withColumn("_ch", F.explode(fired))
             .select("risk_event_id", c("_ch.channel").alias("channel"), "risk_level", body.alias("payload")))
 

@@ -71,13 +71,32 @@ SELECT CAST(l_partkey % 50 AS DOUBLE) + l_discount * 5 AS x, CAST(l_suppkey % 50
        l_extendedprice / 1000 AS z, CAST(CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 5 ELSE 1 END AS INT) AS classification,
        CAST(l_linenumber % 3 + 1 AS INT) AS return_number
 FROM {lineitem}""",
-    "way_nodes": """
+    "open_way_nodes": """
 SELECT l_orderkey AS way_id, l_partkey AS node_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos
 FROM {lineitem}""",
+    # Every third way returns to its first node; every seventh node is not in the extract.
+    "way_nodes": """
+SELECT way_id, node_id, pos FROM {open_way_nodes}
+UNION ALL SELECT way_id, node_id, 1000000 AS pos FROM {open_way_nodes} WHERE pos = 1 AND way_id % 3 = 0""",
     "nodes": """
 SELECT p_partkey AS node_id, CAST(-121.70 + 0.0001 * (p_partkey * 31 % 1500) AS DOUBLE) AS lon,
        CAST(39.70 + 0.0001 * (p_partkey * 17 % 600) AS DOUBLE) AS lat, p_type AS tag
+FROM {part} WHERE p_partkey % 7 <> 6""",
+    # Properties of raw map features from nine sources and an unknown one.
+    "raw_features": """
+SELECT p_partkey AS seq,
+       CASE CAST(p_partkey % 10 AS INT) WHEN 0 THEN 'osm_buildings' WHEN 1 THEN 'osm_roads' WHEN 2 THEN 'osm_power' WHEN 3 THEN 'cec_transmission'
+            WHEN 4 THEN 'cec_substations' WHEN 5 THEN 'eia_pipelines' WHEN 6 THEN 'hifld_fire_stations' WHEN 7 THEN 'hifld_hospitals'
+            WHEN 8 THEN 'hifld_schools' ELSE 'other' END AS source,
+       CASE WHEN p_partkey % 13 < 3 THEN p_name WHEN p_partkey % 13 = 3 THEN '' END AS feature_name,
+       CASE WHEN p_partkey % 17 = 1 THEN p_brand END AS upper_name,
+       CASE CAST(floor(p_partkey / 10) % 6 AS INT) WHEN 0 THEN 'hospital' WHEN 1 THEN 'school' WHEN 2 THEN 'retail' WHEN 3 THEN 'yes' WHEN 4 THEN 'college' END AS building,
+       CASE CAST(floor(p_partkey / 10) % 6 AS INT) WHEN 0 THEN 'motorway' WHEN 1 THEN 'tertiary' WHEN 2 THEN 'service' WHEN 3 THEN 'track' WHEN 4 THEN 'primary' END AS highway,
+       CASE CAST(floor(p_partkey / 10) % 6 AS INT) WHEN 0 THEN 'line' WHEN 1 THEN 'minor_line' WHEN 2 THEN 'tower' WHEN 3 THEN 'pole' WHEN 4 THEN 'generator' END AS power,
+       CASE WHEN p_size % 4 <> 0 THEN p_size * 6 END AS voltage, CASE WHEN p_size % 3 <> 0 THEN p_type END AS owner,
+       CASE WHEN p_size % 2 = 0 THEN p_type END AS typepipe, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS street,
+       CASE WHEN p_size % 3 = 1 THEN '12' END AS housenumber
 FROM {part}""",
     # Entities as the store keeps them.
     "stored_events": """
@@ -108,7 +127,7 @@ FROM {events} GROUP BY user_id % 5, user_id % 20""",
     "objects": """
 SELECT concat('aoi-', user_id % 5, '/scene-', event_id % 97, '/', event_type, '-', event_id % 7,
               CASE WHEN event_id % 4 = 0 THEN '.png' WHEN event_id % 4 = 1 THEN '.json' ELSE '.tif' END) AS path,
-       CAST(value * 1000 AS BIGINT) AS size_bytes, ts AS modified_at
+       CAST(round(value * 1000) AS BIGINT) AS size_bytes, ts AS modified_at
 FROM {events}""",
     # Square zones in pixel space (x = col * 10, y = -row * 10).
     "zones": """

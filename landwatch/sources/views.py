@@ -11,11 +11,10 @@ c = F.col
 
 
 def asset_views(assets: DataFrame) -> dict[str, DataFrame]:
-    """Assets split by geometry kind, as map tools take one kind per layer."""
+    """Assets split by geometry kind, as map tools take one kind per layer; multi-geometries are in none."""
     kind = c("geometry.type")
-    return {"polygons": assets.where(kind.isin("Polygon", "MultiPolygon")),
-            "lines": assets.where(kind.isin("LineString", "MultiLineString")),
-            "points": assets.where(kind.isin("Point", "MultiPoint"))}
+    return {"polygons": assets.where(kind == "Polygon"), "lines": assets.where(kind == "LineString"),
+            "points": assets.where(kind == "Point")}
 
 
 def risk_event_view(events: DataFrame, changes: DataFrame) -> DataFrame:
