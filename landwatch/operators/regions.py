@@ -165,8 +165,10 @@ def trace(row: np.ndarray, col: np.ndarray) -> list[list[np.ndarray]]:
     return [[xy for _, xy in sorted(group, key=lambda g: -g[0])] for group in rings.values()]
 
 
-def region_polygons(labelled: DataFrame, keys: list[str], grid: Grid, tile: int = 256, whole_pixels: int = 250_000) -> DataFrame:
-    """Polygons with holes per region in map coordinates: keys, component_id, piece, geometry, pixels.
+def region_polygons(labelled: DataFrame, keys: list[str], grid: Grid | None, tile: int = 256, whole_pixels: int = 250_000) -> DataFrame:
+    """Polygons with holes per region: keys, component_id, piece, geometry, pixels.
+
+    Coordinates are the grid's, or column and row numbers of pixel corners when no grid is given.
 
     Regions up to ``whole_pixels`` are one polygon. Larger ones come as one exact piece per tile, so
     that no task ever holds an unbounded region; the pieces of a region cover it without overlap.
@@ -175,6 +177,7 @@ def region_polygons(labelled: DataFrame, keys: list[str], grid: Grid, tile: int
     piece = F.when(c("_size") > whole_pixels, F.concat_ws("/", F.floor(c("row_idx") / tile), F.floor(c("col_idx") / tile)))
     cut = labelled.join(size, [*keys, "component_id"]).withColumn("piece", F.coalesce(piece, F.lit("whole")))
     geom = geometry_type()
+    grid = grid or Grid(0.0, 0.0, 1.0, 1.0, 0, 0)
     schema = T.StructType([*[labelled.schema[k] for k in keys], T.StructField("component_id", T.LongType()),
                            T.StructField("piece", T.StringType()), T.StructField("geometry", geom), T.StructField("pixels", T.LongType())])
 
