@@ -13,7 +13,7 @@ from landwatch.functions import geometry as G
 from landwatch.functions import projection as P
 from landwatch.operators.ranking import first_by
 from landwatch.plans.change_to_risk import change_to_risk
-from landwatch.session import shared_dir
+from landwatch.session import cut_lineage, shared_dir
 from landwatch.sources.fixtures import Tables
 from landwatch.streaming import jobs
 
@@ -35,7 +35,9 @@ def flow(t):
                           (k % 4).cast("int").alias("criticality"), (k * 7919 % 12800 / 10 + 0.03 + X0).alias("ax"), (F.lit(Y0) - k * 3571 % 11700 / 10 - 0.03).alias("ay"),
                           F.lit(10).alias("zone"), F.lit(False).alias("south"))
     a = P.add_lonlat(a, "ax", "ay", "zone", "south").withColumn("geometry", G.point(c("lon"), c("lat")))
-    return change_to_risk(bands, rasters, a.select("asset_id", "aoi_id", "asset_type", "criticality", "geometry"), dem,
+    # Assets come as a written table, as in a store, not as an expression to be inlined everywhere.
+    a = cut_lineage(a.select("asset_id", "aoi_id", "asset_type", "criticality", "geometry"))
+    return change_to_risk(bands, rasters, a, dem,
                           config=ProcessingConfig(min_area_m2=1000.0, max_distance_m=120.0, tile_size=64))
 
 

@@ -94,10 +94,12 @@ def score(changes: DataFrame, assets: DataFrame, dem: DataFrame | None, rasters:
     names = [k for k in assets.columns if k not in area]
     clash = {k: f"asset_{k}" for k in names if k in changes.columns and k not in ("geometry", "asset_id")}
     pairs = proximity.distance_join(changes, assets.withColumnsRenamed(clash), max_distance_m, within=area or None).drop("change_geometry", "asset_geometry", "centroid")
-    cut = pairs.where(c("piece") != "whole")
-    rest = [k for k in pairs.columns if k not in ("change_id", "asset_id", "piece", "pixels")]
-    nearest = cut.groupBy("change_id", "asset_id").agg(F.min_by(F.struct(*rest), "distance_meters").alias("p")).select("change_id", "asset_id", "p.*")
-    pairs = pairs.where(c("piece") == "whole").drop("piece", "pixels").unionByName(nearest)
+    if not changes.where(c("piece") != "whole").isEmpty():
+        rest = [k for k in pairs.columns if k not in ("change_id", "asset_id", "piece", "pixels")]
+        nearest = F.min_by(F.struct(*rest), "distance_meters").alias("p")
+        pairs = pairs.groupBy("change_id", "asset_id").agg(nearest).select("change_id", "asset_id", "p.*")
+    else:
+        pairs = pairs.drop("piece", "pixels")
     if dem is None:
         pairs = pairs.withColumns({"elevation_diff_m": F.lit(None).cast("double"), "is_upslope": F.lit(None).cast("boolean")})
     else:

@@ -119,7 +119,7 @@ SELECT run_id, aoi_id, status, before_date, after_date, after_date AS created_at
     "scene_runs": """
 SELECT concat('run-s-', user_id % 5, '-', user_id % 20) AS run_id, concat('aoi-', user_id % 5) AS aoi_id,
        CAST(CASE WHEN user_id % 5 = 4 AND user_id % 20 >= 15 THEN 3 ELSE 5 END AS INT) AS status,
-       min(ts) AS before_date, max(CASE WHEN user_id % 5 = 2 THEN NULL WHEN event_id % 20 < 3 THEN ts END) AS after_date,
+       min(ts) AS before_date, min(CASE WHEN user_id % 5 = 2 THEN NULL WHEN event_id % 20 < 3 THEN ts END) AS after_date,
        concat('scene-', min(event_id)) AS before_scene_id, concat('scene-', max(event_id)) AS after_scene_id,
        max(ts) AS created_at
 FROM {events} GROUP BY user_id % 5, user_id % 20""",
