@@ -260,7 +260,7 @@ UNION ALL SELECT 'Aspect', aspect_points, 5 FROM scored WHERE aspect_points IS N
 SELECT name, CASE WHEN m = 0 THEN 'multiplier' WHEN p / m >= 0.75 THEN 'critical' WHEN p / m >= 0.5 THEN 'high' WHEN p / m >= 0.25 THEN 'medium' ELSE 'low' END AS band, count(*) AS uses FROM f GROUP BY ALL""")
 def factor_bands(t):
     """Bands of the factors' shares of their possible points."""
-    f = S.score_pairs(event_pairs(t)).select(F.explode("factors").alias("f")).select("f.*").where(c("name").isin("Distance", "NDVI Drop", "Area", "Aspect", "Land Cover"))
+    f = S.score_pairs(event_pairs(t)).select(F.explode_outer("factors").alias("f")).select("f.*").where(c("name").isin("Distance", "NDVI Drop", "Area", "Aspect", "Land Cover"))
     return f.groupBy("name", N.factor_band(c("points"), c("max_points")).alias("band")).agg(F.count("*").alias("uses"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.config import scoring_config
-from landwatch.schema import CRITICALITIES, FACTOR, name_of
+from landwatch.schema import CRITICALITIES, name_of
 
 LANDSLIDE = "LandslideDebris"
 UPSLOPE_M = 5.0  # fixed value: height that makes a landslide threatening
@@ -127,6 +127,15 @@ def risk_level(score: Column, config: dict[str, Any]) -> Column:
         lambda r: r["name"], "Unknown")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Number with a fixed count of decimals; a decimal cast is several times cheaper than a format string."""
+    return value.cast("double").cast(f"decimal(38,{digits})").cast("string")
+
+
+def _text(*pieces) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+
+
 def _factor(name, points, max_points: int, code, details) -> Column:
     text = F.lit(name) if isinstance(name, str) else name
     return F.struct(text.alias("name"), points.alias("points"), F.lit(int(max_points)).alias("max_points"),
@@ -134,7 +143,7 @@ def _factor(name, points, max_points: int, code, details) -> Column:
 
 
 def score_pairs(pairs: DataFrame, overrides: dict[str, Any] | None = None) -> DataFrame:
-    """Add risk_score, risk_level and the ordered factors list to (change, asset) pairs.
+    """Add base_score (before criticality), risk_score, risk_level and the ordered factors list to (change, asset) pairs.
 
     Reads distance_meters, ndvi_drop_mean, area_sq_meters, change_type (name), criticality (code),
     criticality_name, and the nullable slope_degree_mean, aspect_degrees, land_cover_class and
@@ -170,63 +179,68 @@ def score_pairs(pairs: DataFrame, overrides: dict[str, Any] | None = None) -> Da
     df = df.withColumn("risk_level", risk_level(c("risk_score"), config))
 
     d = config["directional_slope"]
-    rise = (F.when(diff > float(d["upslope_threshold_m"]), F.format_string("upslope (%.0fm higher)", diff))
-            .when(diff < float(d["downslope_threshold_m"]), F.format_string("downslope (%.0fm lower)", F.abs(diff)))
+    rise = (F.when(diff > float(d["upslope_threshold_m"]), _text("upslope (", fixed(diff, 0), "m higher)"))
+            .when(diff < float(d["downslope_threshold_m"]), _text("downslope (", fixed(F.abs(diff), 0), "m lower)"))
             .otherwise(F.lit("approximately level")))
-    slope_text = F.when(diff.isNull(), F.format_string("Slope: %.1f° (no elevation data)", slope)).otherwise(
-        F.format_string("Slope: %.1f°, %s (modifier: %.2fx)", slope, rise, slope_modifier(diff, config)))
+    slope_text = F.when(diff.isNull(), _text("Slope: ", fixed(slope, 1), "° (no elevation data)")).otherwise(
+        _text("Slope: ", fixed(slope, 1), "°, ", rise, " (modifier: ", fixed(slope_modifier(diff, config), 2), "x)"))
     angle = F.pmod(aspect, F.lit(360.0))
     unmatched = lambda code, default: F.when(code == default, F.lit(" (below threshold)")).otherwise(F.lit(""))
 
     cover_code = F.concat(F.lit("LANDCOVER_"), F.upper(cover))
     cover_factor = (
-        F.when(skipped, _factor(
+        F.when(skipped, F.array(_factor(
             "Land Cover", F.lit(0), 0, F.concat(cover_code, F.lit("_SKIP")),
-            F.format_string("Land cover: %s (multiplier: %.2fx, skipped for confirmed landslide)", cover, c("_cover_m"))))
-        .when(c("_cover_m") != 1.0, _factor(
+            _text("Land cover: ", cover, " (multiplier: ", fixed(c("_cover_m"), 2), "x, skipped for confirmed landslide)"))))
+        .when(c("_cover_m") != 1.0, F.array(_factor(
             "Land Cover", c("_t1") - c("_t0"), 0, cover_code,
-            F.format_string("Land cover: %s (multiplier: %.2fx)", cover, c("_cover_m"))))
-        .when(cover.isNotNull(), _factor(
+            _text("Land cover: ", cover, " (multiplier: ", fixed(c("_cover_m"), 2), "x)"))))
+        .when(cover.isNotNull(), F.array(_factor(
             "Land Cover", F.lit(0), 0, cover_code,
-            F.format_string("Land cover: %s (multiplier: 1.00x, baseline)", cover)))
+            _text("Land cover: ", cover, " (multiplier: 1.00x, baseline)"))))
     )
     gate = float(config["landslide"]["min_slope_deg"])
-    position = (F.when(diff > UPSLOPE_M, F.format_string("upslope (%.0fm higher)", diff))
-                .when(diff < -UPSLOPE_M, F.format_string("downslope (%.0fm lower)", F.abs(diff)))
+    position = (F.when(diff > UPSLOPE_M, _text("upslope (", fixed(diff, 0), "m higher)"))
+                .when(diff < -UPSLOPE_M, _text("downslope (", fixed(F.abs(diff), 0), "m lower)"))
                 .otherwise(F.lit("level/unknown terrain")))
     grade = F.coalesce(slope, F.lit(0.0))
     slide_factor = F.when(c("_slide") & ~steep, _factor(
         "Landslide Detection", F.lit(0), 0, F.lit("LANDSLIDE_LOW_SLOPE"),
-        F.format_string("Landslide detected but slope %.1f° < %.0f° threshold", grade, F.lit(gate)))
+        _text("Landslide detected but slope ", fixed(grade, 1), f"° < {gate:.0f}° threshold"))
     ).when(c("_slide"), _factor(
         "Landslide Detection", c("_t2") - c("_t1"), 0,
         F.when(diff > UPSLOPE_M, F.lit("LANDSLIDE_UPSLOPE")).otherwise(F.lit("LANDSLIDE_DETECTED")),
-        F.format_string("Landslide on %.1f° slope, %s (multiplier: %.2fx)", grade, position, c("_slide_m"))))
-
-    factors = F.array_compact(F.array(
-        _factor("Distance", c("_dist"), config["distance"]["max_points"], dist_code,
-                F.concat(F.format_string("Distance: %.0fm", c("distance_meters")),
-                         F.when(dist_code == "DISTANCE_FAR", F.lit(" (beyond threshold)")).otherwise(F.lit("")))),
-        _factor("NDVI Drop", c("_ndvi"), config["ndvi_drop"]["max_points"], ndvi_code,
-                F.concat(F.format_string("NDVI drop: %.3f", c("ndvi_drop_mean")), unmatched(ndvi_code, "NDVI_DROP_MINIMAL"))),
-        _factor("Area", c("_area"), config["area"]["max_points"], area_code,
-                F.concat(F.format_string("Area: %,.0f m²", c("area_sq_meters")), unmatched(area_code, "AREA_SMALL"))),
-        F.when(slope.isNotNull(), _factor(
+        _text("Landslide on ", fixed(grade, 1), "° slope, ", position, " (multiplier: ", fixed(c("_slide_m"), 2), "x)")))
+
+    # Optional factors are arrays of one or none, so their texts stay in generated code. The rare
+    # landslide factor goes through array_compact, which keeps this projection out of the whole-stage
+    # method: as one method it would be too large for the JIT, on its own Spark splits it.
+    none = F.array()
+    factors = F.concat(
+        F.array(
+            _factor("Distance", c("_dist"), config["distance"]["max_points"], dist_code,
+                    F.concat(_text("Distance: ", fixed(c("distance_meters"), 0), "m"),
+                             F.when(dist_code == "DISTANCE_FAR", F.lit(" (beyond threshold)")).otherwise(F.lit("")))),
+            _factor("NDVI Drop", c("_ndvi"), config["ndvi_drop"]["max_points"], ndvi_code,
+                    F.concat(_text("NDVI drop: ", fixed(c("ndvi_drop_mean"), 3)), unmatched(ndvi_code, "NDVI_DROP_MINIMAL"))),
+            _factor("Area", c("_area"), config["area"]["max_points"], area_code,
+                    F.concat(_text("Area: ", F.format_number(c("area_sq_meters").cast("double"), 0), " m²"), unmatched(area_code, "AREA_SMALL")))),
+        F.when(slope.isNotNull(), F.array(_factor(
             F.when(diff.isNull(), F.lit("Slope")).otherwise(F.lit("Slope + Direction")),
-            c("_slope"), d["max_points"], slope_code, slope_text)),
-        F.when(aspect.isNotNull(), _factor(
+            c("_slope"), d["max_points"], slope_code, slope_text))).otherwise(none),
+        F.when(aspect.isNotNull(), F.array(_factor(
             "Aspect", c("_aspect"), config["aspect"]["max_points"], aspect_code,
-            F.format_string("Aspect: %.0f° (%s)", angle, compass(aspect)))),
-        cover_factor,
-        slide_factor,
-        _factor("Criticality",
-                F.when(c("_crit_m") > 1.0, (c("_t2") * (c("_crit_m") - 1.0)).cast("int")).otherwise(F.lit(0)),
-                config["criticality"]["max_points"],
-                F.concat(F.lit("CRITICALITY_"), F.upper(c("criticality_name"))),
-                F.concat(F.lit("Multiplier: "), c("_crit_m").cast("string"), F.lit("x for "),
-                         c("criticality_name"), F.lit(" criticality"))),
-    )).cast("array<" + FACTOR.simpleString() + ">")
-    return df.withColumn("factors", factors).select(*keep, "risk_score", "risk_level", "factors")
+            _text("Aspect: ", fixed(angle, 0), "° (", compass(aspect), ")")))).otherwise(none),
+        cover_factor.otherwise(none),
+        F.array_compact(F.array(slide_factor)),
+        F.array(_factor(
+            "Criticality",
+            F.when(c("_crit_m") > 1.0, (c("_t2") * (c("_crit_m") - 1.0)).cast("int")).otherwise(F.lit(0)),
+            config["criticality"]["max_points"],
+            F.concat(F.lit("CRITICALITY_"), F.upper(c("criticality_name"))),
+            F.concat(F.lit("Multiplier: "), c("_crit_m").cast("string"), F.lit("x for "),
+                     c("criticality_name"), F.lit(" criticality")))))
+    return df.withColumn("factors", factors).select(*keep, c("_t2").alias("base_score"), "risk_score", "risk_level", "factors")
 
 
 def scoring_document(score: Column, level: Column, factors: Column) -> Column:
