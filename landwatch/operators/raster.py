@@ -117,7 +117,7 @@ def change_statistics(diff: DataFrame, keys: list[str]) -> DataFrame:
     return diff.groupBy(*keys).agg(
         F.coalesce(F.avg(v), F.lit(0.0)).alias("mean_diff"), F.coalesce(F.min(v), F.lit(0.0)).alias("min_diff"),
         F.coalesce(F.max(v), F.lit(0.0)).alias("max_diff"), hit.alias("changed_pixels"), F.count("*").alias("total_pixels"),
-        (hit / F.count("*") * 100).alias("change_percent"))
+        F.coalesce(F.try_divide(hit, F.count("*")) * 100, F.lit(0.0)).alias("change_percent"))
 
 
 def _at(source: DataFrame, keys: list[str], row: str, col: str, tag: str) -> DataFrame:
@@ -149,7 +149,7 @@ def resample(source: DataFrame, target: DataFrame, keys: list[str], source_grid:
     t = t.withColumn("_k", F.explode(four)).select(*keys, "row_idx", "col_idx", "_on", c("_k.r").alias("_r"), c("_k.c").alias("_c"), c("_k.w").alias("_w"))
     hit = t.join(_at(source, keys, "_r", "_c", "_v"), [*keys, "_r", "_c"], "left")
     part = F.when(c("_v").isNotNull() & c("_on"), c("_w"))
-    return hit.groupBy(*keys, "row_idx", "col_idx").agg((F.sum(part * c("_v")) / F.sum(part)).alias("value"))
+    return hit.groupBy(*keys, "row_idx", "col_idx").agg(F.try_divide(F.sum(part * c("_v")), F.sum(part)).alias("value"))
 
 
 def sample(points: DataFrame, raster: DataFrame, grid: Grid, x: str, y: str, values: list[str],
