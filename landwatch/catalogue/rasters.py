@@ -85,8 +85,8 @@ round(min(d)::DOUBLE, 6) AS ndvi_diff_min FROM comp JOIN px USING (id) GROUP BY
 def change_regions(t):
     """Connected regions of changed pixels with their difference statistics, across 32-pixel tiles."""
     d = diff(t)
-    labelled = C.label_regions(d.where("changed = 1"), [], tile=32, width=128)
-    s = C.region_statistics(labelled, d, [])
+    labelled = C.label_regions(d.where("changed = 1"), [], tile=32, width=128, carry=("ndvi_diff",))
+    s = C.region_statistics(labelled, [])
     return s.select("component_id", "pixels", *[F.round(k, 6).alias(k) for k in ("ndvi_drop_mean", "ndvi_drop_max", "ndvi_diff_min")])
 
 

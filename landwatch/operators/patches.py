@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landwatch.operators.raster import Grid
+from landwatch.operators.skew import salted_join
 from landwatch.schema import LAND_COVER_CLASSES
 
 c = F.col
@@ -38,7 +39,7 @@ def patch_pixels(polygons: DataFrame, pixels: DataFrame, grid: Grid, key: str, x
     w = (w.withColumn("_tr", F.explode(F.sequence(F.floor(c("w_r0") / size), F.floor((c("w_r1") - 1) / size))))
          .withColumn("_tc", F.explode(F.sequence(F.floor(c("w_c0") / size), F.floor((c("w_c1") - 1) / size)))))
     p = pixels.select("row_idx", "col_idx", *values).withColumns({"_tr": F.floor(c("row_idx") / size), "_tc": F.floor(c("col_idx") / size)})
-    hit = w.join(p, ["_tr", "_tc"]).where((c("row_idx") >= c("w_r0")) & (c("row_idx") < c("w_r1")) & (c("col_idx") >= c("w_c0")) & (c("col_idx") < c("w_c1")))
+    hit = salted_join(w, p, ["_tr", "_tc"], left_id=key).where((c("row_idx") >= c("w_r0")) & (c("row_idx") < c("w_r1")) & (c("col_idx") >= c("w_c0")) & (c("col_idx") < c("w_c1")))
     return hit.select(key, (c("row_idx") - c("w_r0") + c("w_ro")).alias("p_row"), (c("col_idx") - c("w_c0") + c("w_co")).alias("p_col"), *values)
 
 

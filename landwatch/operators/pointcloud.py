@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landwatch.operators.skew import salted_join
+
 c = F.col
 GROUND = 2  # fixed value: class code of ground returns
 MAX_TILES = 500  # fixed value: tiles one search returns
@@ -88,7 +90,7 @@ def polygon_points(boxes: DataFrame, points: DataFrame, key: str, cell: float) -
          .withColumn("_gy", F.explode(F.sequence(F.floor(c("min_y") / cell), F.floor(c("max_y") / cell)))))
     p = points.withColumns({"_gx": F.floor(c("x") / cell), "_gy": F.floor(c("y") / cell)})
     inside = c("x").between(c("min_x"), c("max_x")) & c("y").between(c("min_y"), c("max_y"))
-    return b.join(p, ["_gx", "_gy"]).where(inside).drop("_gx", "_gy", "min_x", "min_y", "max_x", "max_y")
+    return salted_join(b, p.withColumn("_pid", F.xxhash64(*points.columns)), ["_gx", "_gy"], key, "_pid").drop("_pid").where(inside).drop("_gx", "_gy", "min_x", "min_y", "max_x", "max_y")
 
 
 def polygon_products(boxes: DataFrame, points: DataFrame, key: str, pad: float, resolution: float = 1.0, cell: float = 10.0) -> DataFrame:

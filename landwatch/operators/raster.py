@@ -110,6 +110,19 @@ def difference(before: DataFrame, after: DataFrame, keys: list[str], threshold:
     return diff.select(*on, "ndvi_diff", changed(c("ndvi_diff"), threshold).alias("changed"))
 
 
+def paired_difference(bands: DataFrame, keys: list[str], threshold: float = -0.2, nodata: float = 0.0) -> DataFrame:
+    """Difference and mask straight from before and after band rows (column side), in one shuffle.
+
+    Equals scene_ndvi of both sides followed by difference: pixels that lack a band on a side drop out.
+    """
+    pick = lambda side, b: F.max(F.when((c("side") == side) & (c("band") == b), c("value")))
+    wide = bands.where(c("band").isin("B04", "B08") & c("side").isin("before", "after")).groupBy(*keys, "row_idx", "col_idx").agg(
+        pick("before", "B04").alias("_rb"), pick("before", "B08").alias("_nb"), pick("after", "B04").alias("_ra"), pick("after", "B08").alias("_na"))
+    diff = ndvi(c("_ra"), c("_na"), nodata) - ndvi(c("_rb"), c("_nb"), nodata)
+    return (wide.select(*keys, "row_idx", "col_idx", diff.alias("ndvi_diff")).where(c("ndvi_diff").isNotNull())
+            .withColumn("changed", changed(c("ndvi_diff"), threshold)))
+
+
 def change_statistics(diff: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, least and greatest non-zero difference, changed and total pixels, percent changed."""
     v = F.when(c("ndvi_diff") != 0, c("ndvi_diff").cast("double"))

@@ -77,23 +77,28 @@ def _components(edges: DataFrame, keys: list[str]) -> DataFrame:
     return labels
 
 
-def label_regions(mask: DataFrame, keys: list[str], tile: int = 256, width: int = STRIDE) -> DataFrame:
+def label_regions(mask: DataFrame, keys: list[str], tile: int = 256, width: int = STRIDE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add component_id to changed pixels: the smallest row * width + col of their 4-connected region.
 
-    Tiles are labelled on their own (a task holds at most one tile), then only pixels on tile
+    ``carry`` names value columns to keep, so that region statistics need no join. Tiles are labelled on their own (a task holds at most one tile), then only pixels on tile
     borders are matched across, and the graph of touching tile labels is solved.
     """
     key_fields = [mask.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField("row_idx", T.IntegerType()), T.StructField("col_idx", T.IntegerType()),
-                           T.StructField("local", T.LongType())])
+                           T.StructField("local", T.LongType()), *[mask.schema[k] for k in carry]])
 
     def label(table: pa.Table) -> pa.Table:
+        # A pixel given twice counts once.
+        at = table["row_idx"].to_numpy().astype(np.int64) * STRIDE + table["col_idx"].to_numpy()
+        table = table.take(pa.array(np.unique(at, return_index=True)[1]))
         row, col = (table[k].to_numpy() for k in ("row_idx", "col_idx"))
-        first = local_labels(row, col)
         ids = row.astype(np.int64) * width + col
-        return table.select([*keys, "row_idx", "col_idx"]).append_column("local", pa.array(ids[first]))
+        out = table.select([*keys, "row_idx", "col_idx"]).append_column("local", pa.array(ids[local_labels(row, col)]))
+        for k in carry:
+            out = out.append_column(k, table[k])
+        return out
 
-    pixels = mask.select(*keys, c("row_idx").cast("int"), c("col_idx").cast("int")).distinct()
+    pixels = mask.select(*keys, c("row_idx").cast("int"), c("col_idx").cast("int"), *carry)
     tiled = pixels.withColumns({"tile_row": F.floor(c("row_idx") / tile), "tile_col": F.floor(c("col_idx") / tile)})
     local = cut_lineage(tiled.groupBy(*keys, "tile_row", "tile_col").applyInArrow(label, schema))
 
@@ -105,7 +110,7 @@ def label_regions(mask: DataFrame, keys: list[str], tile: int = 256, width: int
     links = touching("col_idx", "row_idx").union(touching("row_idx", "col_idx"))
     found = _components(links, keys).withColumnRenamed("node", "local")
     return (local.join(found, [*keys, "local"], "left")
-            .select(*keys, "row_idx", "col_idx", F.coalesce("component", "local").alias("component_id")))
+            .select(*keys, "row_idx", "col_idx", F.coalesce("component", "local").alias("component_id"), *carry))
 
 
 def trace(row: np.ndarray, col: np.ndarray) -> list[list[np.ndarray]]:
@@ -194,11 +199,10 @@ def region_polygons(labelled: DataFrame, keys: list[str], grid: Grid | None, til
     return cut.select(*keys, "component_id", "piece", "row_idx", "col_idx").groupBy(*keys, "component_id", "piece").applyInArrow(outline, schema)
 
 
-def region_statistics(labelled: DataFrame, diff: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, greatest and least difference of each region; the region label is the zone, so one equi-join does it."""
-    on = [*keys, "row_idx", "col_idx"]
+def region_statistics(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, greatest and least difference of each region, from labels that carry ndvi_diff: one aggregate."""
     v = F.nanvl(c("ndvi_diff").cast("double"), F.lit(None).cast("double"))
-    stats = labelled.join(diff.select(*on, "ndvi_diff"), on, "left").groupBy(*keys, "component_id").agg(
+    stats = labelled.groupBy(*keys, "component_id").agg(
         F.count("*").alias("pixels"), F.avg(v).alias("ndvi_drop_mean"), F.max(v).alias("ndvi_drop_max"), F.min(v).alias("ndvi_diff_min"))
     return stats.na.fill(0.0, ["ndvi_drop_mean", "ndvi_drop_max", "ndvi_diff_min"])
 
@@ -210,8 +214,8 @@ def detect_regions(diff: DataFrame, keys: list[str], grid: Grid, min_area_m2: fl
     Regions under the least area are dropped before their polygons are traced.
     """
     cell = abs(grid.dx * grid.dy)
-    labelled = cut_lineage(label_regions(diff.where(c("changed") == 1), keys, tile))
-    stats = region_statistics(labelled, diff, keys).withColumn("area_sq_meters", c("pixels") * F.lit(cell))
+    labelled = cut_lineage(label_regions(diff.where(c("changed") == 1), keys, tile, carry=("ndvi_diff",)))
+    stats = region_statistics(labelled, keys).withColumn("area_sq_meters", c("pixels") * F.lit(cell))
     stats = stats.where(c("area_sq_meters") >= min_area_m2).drop("pixels")
     kept = labelled.join(stats.select(*keys, "component_id"), [*keys, "component_id"], "left_semi")
     shapes = region_polygons(kept, keys, grid, tile, whole_pixels)

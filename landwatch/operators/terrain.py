@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from landwatch.functions import geometry as G
 from landwatch.functions import kernels as K
 from landwatch.operators.raster import Grid
+from landwatch.operators.skew import salted_join
 
 c = F.col
 
@@ -76,7 +77,8 @@ def zonal_pixels(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_key: str,
     """(zone, pixel values) for every pixel whose centre lies inside the zone polygon.
 
     Zones are cut into the tiles their box touches and joined to pixels on the tile; box bounds are
-    part of the join and only what is left reaches the exact test.
+    part of the join and only what is left reaches the exact test. A tile bounds its pixels; tiles
+    under very many zones are salted by zone.
     """
     keys = keys or []
     z = zones.select(*keys, zone_key, "geometry").withColumns(
@@ -90,7 +92,7 @@ def zonal_pixels(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_key: str,
          .withColumn("tile_col", F.explode(F.sequence(F.floor(c("z_c0") / tile), F.floor(c("z_c1") / tile)))))
     p = pixels.select(*keys, "row_idx", "col_idx", *values).withColumns(
         {"tile_row": F.floor(c("row_idx") / tile), "tile_col": F.floor(c("col_idx") / tile)})
-    near = z.join(p, [*keys, "tile_row", "tile_col"]).where(
+    near = salted_join(z, p, [*keys, "tile_row", "tile_col"], left_id=zone_key).where(
         c("col_idx").between(c("z_c0"), c("z_c1")) & c("row_idx").between(c("z_r0"), c("z_r1")))
     inside = K.contains_point("geometry.parts", grid.center_x(c("col_idx")), grid.center_y(c("row_idx")))
     return near.where(inside).select(*keys, zone_key, "row_idx", "col_idx", *values)

@@ -54,14 +54,13 @@ def detect(bands: DataFrame, dem: DataFrame | None, rasters: DataFrame, keys: li
            config: ProcessingConfig = ProcessingConfig()) -> dict[str, DataFrame]:
     """Difference raster, its statistics, and changes with polygons, area, drop and terrain.
 
-    ``bands`` has keys, side ("before" or "after"), band, row_idx, col_idx and value. The region label
-    is the zone of all per-region statistics, so they are equi-joins on the pixel.
+    ``bands`` has keys, side ("before" or "after"), band, row_idx, col_idx and value. Both index rasters
+    and their difference come from one shuffle; labels carry the difference, so region statistics are
+    a plain aggregate.
     """
-    index, _ = raster.scene_ndvi(bands, [*keys, "side"])
-    one = lambda side: index.where(c("side") == side).drop("side")
-    diff = raster.difference(one("before"), one("after"), keys, config.ndvi_threshold)
-    labelled = cut_lineage(regions.label_regions(diff.where("changed = 1"), keys, config.tile_size))
-    stats = regions.region_statistics(labelled, diff, keys).withColumn("area_sq_meters", c("pixels") * F.lit(cell_m * cell_m))
+    diff = raster.paired_difference(bands, keys, config.ndvi_threshold)
+    labelled = cut_lineage(regions.label_regions(diff.where("changed = 1"), keys, config.tile_size, carry=("ndvi_diff",)))
+    stats = regions.region_statistics(labelled, keys).withColumn("area_sq_meters", c("pixels") * F.lit(cell_m * cell_m))
     stats = cut_lineage(stats.where(c("area_sq_meters") >= config.min_area_m2).drop("pixels"))
     kept = labelled.join(stats.select(*keys, "component_id"), [*keys, "component_id"], "left_semi")
     # The centroid of a region is the mean of its pixel centres.

@@ -87,3 +87,12 @@ def test_slope_toward_is_zero_within_a_metre(spark):
                                "a double, b double, x double, y double, e1 double, e2 double")
     r = [q[0] for q in X.slope_toward(df, "a", "b", "x", "y", "e1", "e2").select("slope_toward_asset_deg").collect()]
     assert r[0] == 0.0 and abs(r[1] - np.degrees(np.arctan2(30, 1096))) < 0.01 and r[2] is None
+
+
+def test_salted_join_gives_every_pair_once(spark):
+    from landwatch.operators.skew import salted_join
+    a = spark.createDataFrame([(i % 3 if i < 20 else 0, i) for i in range(60)], "k int, a int")
+    b = spark.createDataFrame([(i % 4 if i < 20 else 0, i) for i in range(50)], "k int, b int")
+    want = sorted((r.k, r.a, r.b) for r in a.join(b, "k").collect())
+    for ids in (("a", "b"), ("a", None), (None, "b"), (None, None)):
+        assert sorted((r.k, r.a, r.b) for r in salted_join(a, b, ["k"], *ids, rows=7).collect()) == want
