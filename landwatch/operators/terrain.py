@@ -73,16 +73,16 @@ def slope_aspect(dem: DataFrame, keys: list[str], cell_m: float, tile: int = 256
 
 
 def zonal_pixels(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_key: str, values: list[str],
-                 keys: list[str] | None = None, tile: int = 64) -> DataFrame:
+                 keys: list[str] | None = None, tile: int = 16) -> DataFrame:
     """(zone, pixel values) for every pixel whose centre lies inside the zone polygon.
 
-    Zones are cut into the tiles their box touches and joined to pixels on the tile; box bounds are
+    Zones are cut into the small tiles their box touches and joined to pixels on the tile; box bounds are
     part of the join and only what is left reaches the exact test. A tile bounds its pixels; tiles
     under very many zones are salted by zone.
     """
     keys = keys or []
-    z = zones.select(*keys, zone_key, "geometry").withColumns(
-        dict(zip(("z_min_x", "z_min_y", "z_max_x", "z_max_y"), G.bounds(c("geometry")))))
+    z = zones.where(c("geometry").isNotNull()).select(*keys, zone_key, K.flat_parts("geometry.parts").alias("_flat"), *[
+        b.alias(n) for n, b in zip(("z_min_x", "z_min_y", "z_max_x", "z_max_y"), G.bounds(c("geometry")))])
     span = lambda a, b, o, d, n: (F.greatest(F.floor(F.least((c(a) - o) / d, (c(b) - o) / d)), F.lit(0)),
                                   F.least(F.floor(F.greatest((c(a) - o) / d, (c(b) - o) / d)), F.lit(n - 1)))
     c0, c1 = span("z_min_x", "z_max_x", grid.x0, grid.dx, grid.cols)
@@ -94,7 +94,7 @@ def zonal_pixels(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_key: str,
         {"tile_row": F.floor(c("row_idx") / tile), "tile_col": F.floor(c("col_idx") / tile)})
     near = salted_join(z, p, [*keys, "tile_row", "tile_col"], left_id=zone_key).where(
         c("col_idx").between(c("z_c0"), c("z_c1")) & c("row_idx").between(c("z_r0"), c("z_r1")))
-    inside = K.contains_point("geometry.parts", grid.center_x(c("col_idx")), grid.center_y(c("row_idx")))
+    inside = K.flat_contains("_flat", grid.center_x(c("col_idx")), grid.center_y(c("row_idx")))
     return near.where(inside).select(*keys, zone_key, "row_idx", "col_idx", *values)
 
 
@@ -105,7 +105,7 @@ def circular_mean(angle: str):
 
 
 def terrain_statistics(zones: DataFrame, terrain: DataFrame, grid: Grid, zone_key: str,
-                       keys: list[str] | None = None, tile: int = 64) -> DataFrame:
+                       keys: list[str] | None = None, tile: int = 16) -> DataFrame:
     """Zones with mean elevation, mean and greatest slope and mean aspect; 0 where no pixel lies inside."""
     keys = keys or []
     hits = zonal_pixels(zones, terrain, grid, zone_key, ["elevation_m", "slope_deg", "aspect_deg"], keys, tile)
