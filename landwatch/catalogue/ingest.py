@@ -204,7 +204,7 @@ s AS (SELECT aoi_id, scene_id, count(*) AS file_count, min(path) FILTER (file_na
 SELECT s.aoi_id, s.scene_id, file_count, coalesce(png, any_path) AS display_path, CASE WHEN scene_id LIKE '%5' THEN -120.5::DOUBLE ELSE a.min_lon END AS min_lon FROM s JOIN aois a ON s.aoi_id = a.aoi_id""")
 def scene_details(t):
     """Scenes with bounds from a sidecar or the area, and the picture to show."""
-    side = L.scene_files(t.objects).where(c("scene_id").endswith("5")).select("aoi_id", "scene_id").distinct().select(
+    side = L.located(t.objects).where(c("scene_id").endswith("5")).select("aoi_id", "scene_id").distinct().select(
         F.concat_ws("/", "aoi_id", "scene_id", F.lit("rgb.bounds.json")).alias("path"), F.lit('{"bounds":[-120.5,39.0,-120.0,39.5]}').alias("text"))
     return L.scene_details(t.objects, t.aois, side).select("aoi_id", "scene_id", "file_count", "display_path", F.get("bounds", F.lit(0)).alias("min_lon"))
 
