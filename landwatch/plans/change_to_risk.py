@@ -41,7 +41,9 @@ def asset_elevation(assets: DataFrame, dem: DataFrame, rasters: DataFrame, keys:
     """Elevation of the nearest pixel at each asset's centroid, per raster of its area: keys, asset_id, asset_elevation_m."""
     at = assets.where(c("geometry").isNotNull()).withColumn("_at", G.centroid(c("geometry")))
     on = [k for k in keys if k in assets.columns]
-    at = at.join(rasters, on) if on else at.crossJoin(F.broadcast(rasters))
+    if not on:
+        raise ValueError("assets need a raster key such as aoi_id")
+    at = at.join(rasters, on)
     spot = F.array(F.array(F.array(c("_at"))))
     at = at.withColumn("_plane", F.flatten(F.flatten(K.project_parts(spot, "zone", "south")))[0])
     at = at.withColumns(pixel_of(c("_plane.x"), c("_plane.y")))
