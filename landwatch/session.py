@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "landwatch") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    return (
+    """A local session for tests and the bench, with a folder of its own for written tables; a cluster brings its own."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -20,26 +23,32 @@ def local_session(cores: int = 8, app: str = "landwatch") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        folder = tempfile.mkdtemp(prefix="landwatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
+    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     folder = tempfile.mkdtemp(prefix="landwatch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the reliable checkpoint folder and read it back from there."""
+    """Write the frame as Parquet in the shared folder and read it back: columns can be pruned, and a lost executor costs no recomputation.
+
+    The cluster's retention of that folder removes the table; a local session removes its folder at exit.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/landwatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
