@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, mixture
+from landwatch.llm import bpe, language, mixture, quality
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -26,6 +26,23 @@ def op5_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"))
 
 
+def remainder(ident: str, of: int):
+    """crc32 of the id as text, modulo ``of``; -1 for a null id."""
+    return F.coalesce(F.crc32(c(ident).cast("string").cast("binary")) % of, F.lit(-1))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rated = quality.rate(table(spark, folder, "documents"), table(spark, folder, "labels"), remainder("doc_id", 5) != 0)
+    return rated.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (c("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identify(table(spark, folder, "documents"), remainder("doc_id", 3) != 1)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
