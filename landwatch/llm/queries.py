@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, language, mixture, quality
+from landwatch.llm import bpe, language, mixture, quality, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -21,6 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = transducer.count(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", c("n_tokens") > 4096)
+
+
 @query
 def op5_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"))
