@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, language, mixture, quality, transducer
+from landwatch.llm import bpe, language, mixture, parsing, quality, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -32,6 +32,11 @@ def op5_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"))
 
 
+@query
+def op6_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.compare_with_next(table(spark, folder, "documents"))
+
+
 def remainder(ident: str, of: int):
     """crc32 of the id as text, modulo ``of``; -1 for a null id."""
     return F.coalesce(F.crc32(c(ident).cast("string").cast("binary")) % of, F.lit(-1))
