@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, language, mixture, parsing, quality, transducer
+from landwatch.llm import bpe, disclosure, language, mixture, parsing, quality, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -21,6 +21,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.spans(table(spark, folder, "documents"))
+    kinds = F.array(*(F.lit(k) for k in (*disclosure.KINDS, "generalised", "removed")))
+
+    def line(spans):
+        placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]), s["kind"], s["end"])))
+        return F.concat_ws(",", F.transform(placed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, disclosure.KINDS), F.sha2(line(c("base")).cast("binary"), 256).alias("base_sha256"),
+                        line(F.concat("base", "terms")).alias("spans"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = transducer.count(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
