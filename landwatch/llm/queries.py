@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, disclosure, language, mixture, parsing, quality, transducer
+from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -43,6 +43,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", c("n_tokens") > 4096)
 
 
+@query
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), c("vec_id") % 20 == 0)
+
+
 @query
 def op5_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents"))
