@@ -177,7 +177,7 @@ def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedd
     shared = spark.sparkContext.broadcast(fit(vectors, "_v", longest, count, list_size))
     asked = usable.where("_q").groupBy("_v").agg(F.min("_id").alias("_qid"))
     postings = cut_lineage(assign(vectors, "_v", shared, longest, False, border, 1, replicas))
-    reads = cut_lineage(assign(asked, "_v", shared, longest, True, probe, 8, None))
+    reads = cut_lineage(assign(asked, "_v", shared, longest, True, probe, 24, None))
     blocks = F.ceil(c("count") / BLOCK).cast("int")
     size = postings.groupBy("_list").count().select("_list", blocks.alias("_parts")).join(
         reads.groupBy("_list").count().select("_list", blocks.alias("_turns")), "_list")
