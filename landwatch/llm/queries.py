@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, transducer
+from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, repeats, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -58,6 +58,12 @@ def op6_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.compare_with_next(table(spark, folder, "documents"))
 
 
+@query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    left = repeats.strip(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def remainder(ident: str, of: int):
     """crc32 of the id as text, modulo ``of``; -1 for a null id."""
     return F.coalesce(F.crc32(c(ident).cast("string").cast("binary")) % of, F.lit(-1))
