@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, repeats, transducer
+from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, repeats, shingle_join, transducer
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.components(table(spark, folder, "documents"))
+
+
 @query
 def op2_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     found = disclosure.spans(table(spark, folder, "documents"))
