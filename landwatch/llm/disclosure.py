@@ -187,7 +187,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["term", "text_hash"])
 
     seen = docs.select(F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, "term long, text_hash long")
-    return seen.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    return seen.distinct().groupBy("term").agg(F.count("*").alias("texts")).join(terms, "term", "left_semi")
 
 
 def spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach: int = 5, support: int = 3, generalise: float = 0.75,
@@ -210,14 +210,21 @@ def revealing(docs: DataFrame, found: DataFrame, text: str, support: int, genera
     near = found.where(F.size("near") > 0).dropDuplicates(["text_hash"]).select("text_hash", F.explode("near").alias("n")).select("text_hash", "n.*")
     near = cut_lineage(near)
     seen = near.select("entity", "window", "term").distinct()
-    joint = cut_lineage(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(c("both") >= support))
     own = near.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("windows"))
-    counts = term_counts(docs, joint.select("term").distinct(), text)
+    spread = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("least"))
     total = found.select("text_hash").distinct().agg(F.count("*").cast("double").alias("_n"))  # one row
-    ic = F.log2(F.greatest(c("_n"), c("windows") + 1) / c("windows"))
-    pmi = F.log2(c("_n") * c("both") / (c("windows") * F.greatest("texts", "both")))
-    told = joint.join(own, "entity").join(counts, "term").crossJoin(F.broadcast(total)).withColumn("_share", pmi / ic).where(
-        c("_share") >= generalise).select("entity", "term", F.when(c("_share") >= remove, "removed").otherwise("generalised").alias("kind"))
+    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(c("both") >= support)
+    joint = joint.join(own, "entity").join(spread, "term").crossJoin(F.broadcast(total))
+
+    def share(texts):
+        pmi = F.log2(c("_n") * c("both") / (c("windows") * F.greatest(texts, "both")))
+        return pmi / F.log2(F.greatest(c("_n"), c("windows") + 1) / c("windows"))
+
+    # a term stands in as many texts as have it in a context at least: those that fall short even so need no count
+    joint = cut_lineage(joint.where(share(c("least")) >= generalise))
+    counts = term_counts(docs, joint.select("term").distinct(), text)
+    told = joint.join(counts, "term").withColumn("_share", share(c("texts"))).where(c("_share") >= generalise).select(
+        "entity", "term", F.when(c("_share") >= remove, "removed").otherwise("generalised").alias("kind"))
     flagged = salted(near, told, ["entity", "term"], "text_hash").where(c("kind").isNotNull()).groupBy("text_hash", "start", "end").agg(F.max("kind").alias("kind"))
     return flagged.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
 
