@@ -31,6 +31,8 @@ from landwatch.session import cut_lineage
 SAMPLE, MOST_LISTS = 50_000, 4096
 #: Vectors or queries of one block of a list.
 BLOCK = 2048
+#: Lists that a query reads first; from the others it takes only what is as near as its k-th of these.
+FIRST_LISTS = 8
 SALTS = 16
 c = F.col
 
@@ -152,9 +154,11 @@ def assign(df: DataFrame, vector: str, shared, longest: float, query: bool, rati
                     keep &= dist <= np.partition(dist, most - 1, axis=1)[:, most - 1:most]
                 row, col = np.nonzero(keep)
                 out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(col.astype(np.int32))], names=[*out.schema.names, "_list"])
+                near = min(FIRST_LISTS, dist.shape[1])
+                first = dist <= np.partition(dist, near - 1, axis=1)[:, near - 1:near]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(col.astype(np.int32)), pa.array(first[row, col])], names=[*out.schema.names, "_list", "_first"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("_list", T.IntegerType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("_list", T.IntegerType()), T.StructField("_first", T.BooleanType())]))
 
 
 def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedding", k: int = 20, list_size: int = 100, replicas: int = 2,
@@ -176,36 +180,46 @@ def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedd
     longest, count = vectors.agg(F.max(norm), F.count("*")).first()
     shared = spark.sparkContext.broadcast(fit(vectors, "_v", longest, count, list_size))
     asked = usable.where("_q").groupBy("_v").agg(F.min("_id").alias("_qid"))
-    postings = cut_lineage(assign(vectors, "_v", shared, longest, False, border, 1, replicas))
+    postings = cut_lineage(assign(vectors, "_v", shared, longest, False, border, 1, replicas).drop("_first"))
     reads = cut_lineage(assign(asked, "_v", shared, longest, True, probe, 24, None))
-    blocks = F.ceil(c("count") / BLOCK).cast("int")
-    size = postings.groupBy("_list").count().select("_list", blocks.alias("_parts")).join(
-        reads.groupBy("_list").count().select("_list", blocks.alias("_turns")), "_list")
-    size = F.broadcast(size)  # at most MOST_LISTS rows
-    left = postings.join(size, "_list").withColumn("_part", F.pmod(F.xxhash64("_v"), c("_parts")).cast("int")).withColumn(
-        "_turn", F.explode(F.sequence(F.lit(0), c("_turns") - 1))).select("_list", "_part", "_turn", "_v", "_ids")
-    right = reads.join(size, "_list").withColumn("_turn", F.pmod(F.xxhash64("_v"), c("_turns")).cast("int")).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), c("_parts") - 1))).select("_list", "_part", "_turn", "_v", "_qid")
 
     def product(own: pa.Table, ask: pa.Table) -> pa.Table:
         names, none = ["_qid", "_ids", "score"], pa.table({"_qid": pa.array([], pa.int64()), "_ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
         if not own.num_rows or not ask.num_rows:
             return none
         x, q = matrix(own.column("_v").combine_chunks()), matrix(ask.column("_v").combine_chunks())
+        bound = ask.column("_bound").to_numpy()
         rough, most = q @ x.T, min(len(x), 2 * k + 2)
         best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
         score = (q[:, None, :] * x[best]).sum(axis=2)  # in one order of summation wherever the pair meets
         least = own.column("_ids").combine_chunks().cast(pa.list_(pa.int64()))
         head = least.flatten().to_numpy()[np.asarray(least.offsets)[:-1] - least.offsets[0].as_py()]
         order = np.lexsort((head[best], -score), axis=1)[:, :k + 1]
-        row = np.repeat(np.arange(len(q)), order.shape[1])
-        return pa.table([ask.column("_qid").combine_chunks().take(pa.array(row)).cast(pa.int64()), least.take(pa.array(np.take_along_axis(best, order, 1).ravel())),
-                         pa.array(np.take_along_axis(score, order, 1).ravel())], names=names)
-
-    met = left.groupBy("_list", "_part", "_turn").cogroup(right.groupBy("_list", "_part", "_turn")).applyInArrow(product, "_qid long, _ids array<long>, score double")
-    once = met.groupBy("_qid", "_ids").agg(F.max("score").alias("score"))  # a replica meets a query again
-    near = Window.partitionBy("_qid").orderBy(F.desc("score"), F.col("_ids")[0])
-    top = once.withColumn("_n", F.row_number().over(near)).where(c("_n") <= k + 1).select("_qid", "score", F.explode("_ids").alias("vec_id"))
+        best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
+        row, col = np.nonzero(score >= bound[:, None])
+        return pa.table([ask.column("_qid").combine_chunks().take(pa.array(row)).cast(pa.int64()), least.take(pa.array(best[row, col])), pa.array(score[row, col])], names=names)
+
+    def met(ask: DataFrame) -> DataFrame:
+        """The best of each list for each query that reads it, in blocks."""
+        blocks = F.ceil(c("count") / BLOCK).cast("int")
+        size = postings.groupBy("_list").count().select("_list", blocks.alias("_parts")).join(
+            ask.groupBy("_list").count().select("_list", blocks.alias("_turns")), "_list")
+        size = F.broadcast(size)  # at most MOST_LISTS rows
+        left = postings.join(size, "_list").withColumn("_part", F.pmod(F.xxhash64("_v"), c("_parts")).cast("int")).withColumn(
+            "_turn", F.explode(F.sequence(F.lit(0), c("_turns") - 1))).select("_list", "_part", "_turn", "_v", "_ids")
+        right = ask.join(size, "_list").withColumn("_turn", F.pmod(F.xxhash64("_v"), c("_turns")).cast("int")).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), c("_parts") - 1))).select("_list", "_part", "_turn", "_v", "_qid", "_bound")
+        return left.groupBy("_list", "_part", "_turn").cogroup(right.groupBy("_list", "_part", "_turn")).applyInArrow(product, "_qid long, _ids array<long>, score double")
+
+    def best(rows: DataFrame) -> DataFrame:
+        once = rows.groupBy("_qid", "_ids").agg(F.max("score").alias("score"))  # a replica meets a query again
+        near = Window.partitionBy("_qid").orderBy(F.desc("score"), F.col("_ids")[0])
+        return once.withColumn("_n", F.row_number().over(near)).where(c("_n") <= k + 1)
+
+    first = cut_lineage(best(met(reads.where("_first").withColumn("_bound", F.lit(float("-inf"))))))
+    bound = first.groupBy("_qid").agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
+    further = reads.where("not _first").join(bound, "_qid").withColumn("_bound", F.when(c("_n") > k, c("_least")).otherwise(F.lit(float("-inf"))))
+    top = best(first.select("_qid", "_ids", "score").unionByName(met(further))).select("_qid", "score", F.explode("_ids").alias("vec_id"))
     lists = top.groupBy("_qid").agg(F.array_sort(F.collect_list(F.struct((-c("score")).alias("away"), "vec_id"))).alias("_found"))  # (k + 1)^2 at most
     rows = usable.where("_q").select("_id", "_v")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
