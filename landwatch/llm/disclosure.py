@@ -162,32 +162,51 @@ def entities(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach:
     return docs.select(c(ident), F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """``term, texts``: in how many distinct texts each of ``terms`` stands; all texts are read.
-
-    A filter of fixed size over the terms thins the words in the scan; the exact join follows.
-    """
-    spots = terms.select(F.shiftrightunsigned("term", 64 - 22).alias("_k")).distinct()
-    words = spots.groupBy(F.shiftright("_k", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_k % 64 as int)))").alias("_bits"))
+def spots(values: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size: a set bit for each hash that occurs."""
+    bit = values.select(F.shiftrightunsigned(column, 64 - 22).alias("_k")).distinct()
+    words = bit.groupBy(F.shiftright("_k", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_k % 64 as int)))").alias("_bits"))
     bits = np.zeros(FILTER // 64, np.int64)
     for row in words.toLocalIterator():  # at most FILTER / 64 rows
         bits[row._w] = row._bits
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    spot = hashes.view(U) >> U(64 - 22)
+    return (bits.view(U)[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1) == 1
+
+
+def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """``term, texts``: in how many distinct texts each of ``terms`` stands; all texts are read.
+
+    A filter over the terms thins the words in the scan. A task adds up texts that stand once; of
+    texts that may stand again it gives the pairs, counted once each. Terms that only the filter lets through may be among the rows.
+    """
+    copied = found.groupBy("text_hash").count().where("count > 1")
+    shared = docs.sparkSession.sparkContext.broadcast((spots(terms, "term"), spots(copied, "text_hash")))
 
     def run(batches):
-        mask = shared.value.view(U)
+        mask, copies = shared.value
+        sums: dict[int, int] = {}
         for batch in batches:
             for part in slices(batch, "_text"):
                 raw, offsets = flat(part.column("_text"))
                 word, counts = word_hashes(LOWER[raw], offsets)
-                spot = word >> U(64 - 22)
-                hit = (mask[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1) == 1
-                owner = np.repeat(part.column("text_hash").to_numpy(), counts)[hit]
+                hit = held(mask, word)
+                whose = part.column("text_hash").to_numpy()
+                owner = np.repeat(np.arange(len(counts)), counts)[hit]
                 both = np.unique(np.stack([word[hit].view(np.int64), owner]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["term", "text_hash"])
+                again = held(copies, whose)[both[1]]
+                for term, n in zip(*np.unique(both[0][~again], return_counts=True)):
+                    sums[int(term)] = sums.get(int(term), 0) + int(n)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0][again]), pa.array(whose[both[1][again]]), pa.array(np.ones(int(again.sum()), np.int64))], names=["term", "text_hash", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.nulls(len(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["term", "text_hash", "texts"])
 
-    seen = docs.select(F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, "term long, text_hash long")
-    return seen.distinct().groupBy("term").agg(F.count("*").alias("texts")).join(terms, "term", "left_semi")
+    seen = docs.select(F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, "term long, text_hash long, texts long")
+    seen = cut_lineage(seen)
+    once = seen.where("text_hash is not null").distinct().unionByName(seen.where("text_hash is null"))
+    return once.groupBy("term").agg(F.sum("texts").alias("texts"))
 
 
 def spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach: int = 5, support: int = 3, generalise: float = 0.75,
@@ -222,7 +241,7 @@ def revealing(docs: DataFrame, found: DataFrame, text: str, support: int, genera
 
     # a term stands in as many texts as have it in a context at least: those that fall short even so need no count
     joint = cut_lineage(joint.where(share(c("least")) >= generalise))
-    counts = term_counts(docs, joint.select("term").distinct(), text)
+    counts = term_counts(docs, found, joint.select("term").distinct(), text)
     told = joint.join(counts, "term").withColumn("_share", share(c("texts"))).where(c("_share") >= generalise).select(
         "entity", "term", F.when(c("_share") >= remove, "removed").otherwise("generalised").alias("kind"))
     flagged = salted(near, told, ["entity", "term"], "text_hash").where(c("kind").isNotNull()).groupBy("text_hash", "start", "end").agg(F.max("kind").alias("kind"))
