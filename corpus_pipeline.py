@@ -1,7 +1,8 @@
 """A training corpus from raw documents: stages that each call one operator of landwatch.llm.
 
 Every stage reads all that its predecessor kept, written as Parquet. All but the last return the
-columns of ``documents``.
+columns of ``documents``. Null, empty and repeated rows: a text without letters goes with the first
+stage; of repeated rows the second keeps one.
 """
 
 from __future__ import annotations
@@ -12,28 +13,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, mixture
+from landwatch.llm import bpe, disclosure, language, mixture, shingle_join
 from landwatch.session import shared_dir
 
 c = F.col
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; a text that is null or has no letters goes."""
+    found = language.identify(docs, F.lit(True), keep=docs.columns)
+    return found.where(c("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group linked by five-word shingles at a likeness of 0.8 or more."""
+    groups = shingle_join.components(docs, words=5, threshold=(4, 5))
+    stay = groups.where(c("doc_id").eqNullSafe(c("component_id"))).select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data and the terms that reveal it replaced."""
+    return disclosure.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; documents that it leaves out go."""
-    plan = mixture.mix(docs).where("taken > 0").select("doc_id", (c("taken") / c("size")).cast("int").alias("_copies"))
-    return docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), c("_copies")))).select(*docs.columns)
+    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
+    plan = mixture.mix(keyed, ident="_row").where("taken > 0").groupBy("_row").agg(F.sum(c("taken") / c("size")).cast("int").alias("_copies"))
+    rows = keyed.join(plan, "_row").dropDuplicates([*docs.columns, "_row"])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), c("_copies"))).alias("_copy")).select(*docs.columns)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and whether they decode to its text."""
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
-    return bpe.decode(ids, vocabulary, keep=("doc_id", "lang", "source", "n_chars")).select(
-        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and the digest of what they decode to."""
+    vocabulary, keep = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ("doc_id", "lang", "source", "n_chars")
+    ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=keep)
+    return bpe.decode(ids, vocabulary, keep=keep).select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("mix_sources", mix_sources), ("encode", encode)]
+STAGES = [("known_language", known_language), ("one_of_a_kind", one_of_a_kind), ("without_personal_data", without_personal_data),
+          ("mixed_sources", mixed_sources), ("encoded", encoded)]
+#: Kernel training, graph components, corpus statistics, knapsacks and merges are no SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
