@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from landwatch.llm.batches import flat, slices
+from landwatch.llm.batches import STEP, flat, slices
 from landwatch.llm.hashing import U, prefix_sums, ragged, span_hashes
 from landwatch.session import cut_lineage
 
@@ -229,6 +230,34 @@ def _task(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         yield from work(pa.Table.from_batches(held))
 
 
+def packed(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with ``_text`` as compressed bytes and its size: texts are shuffled in this form."""
+    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("_packed", T.BinaryType()), T.StructField("_size", T.LongType())])
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                raw, offsets = flat(part.column("_text"))
+                made = [codec.compress(raw[a:e].tobytes(), asbytes=True) for a, e in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(made, pa.binary()), pa.array(np.diff(offsets), pa.int64())], names=[*keep, "_packed", "_size"])
+
+    return df.select(*keep, "_text").mapInArrow(run, schema)
+
+
+def unpacked(batch: pa.RecordBatch, step: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``step`` bytes of text, with ``_text`` as bytes."""
+    codec = pa.Codec("zstd")
+    ends = np.cumsum(batch.column("_size").to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+        part = batch.slice(at, to - at)
+        at = to
+        text = [codec.decompress(p, n, asbytes=True) for p, n in zip(part.column("_packed").to_pylist(), part.column("_size").to_pylist())]
+        yield part.append_column("_text", pa.array(text, pa.binary()))
+
+
 def marked(docs: DataFrame, text: str, length: int) -> DataFrame:
     """``h1, h2, times, spans``: for every distinct text with repeated windows or copies, how often it stands and its runs of repeated window starts."""
     body = docs.select(F.coalesce(c(text), F.lit("")).alias("_text")).where(F.octet_length("_text") >= length).select(
@@ -245,11 +274,11 @@ def marked(docs: DataFrame, text: str, length: int) -> DataFrame:
     found = cut_lineage(body.select("h1", "_text").mapInArrow(scan, "key long, h1 long, s0 int, s1 int, times int"))
     again = found.groupBy("key").agg(F.sum("times").alias("_n")).where(c("_n") > 1).select("key", F.ceil(c("_n") / CROWD).cast("int").alias("salts"))
     lists = found.join(again, "key").groupBy("h1").agg(F.collect_set(F.struct("key", "s0", "s1", "salts")).alias("runs"))  # bounded by the text itself
-    texts = body.groupBy("h1", "h2").agg(F.first("_text").alias("_text"), F.count("*").alias("times"))
+    texts = packed(body, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("_packed").alias("_packed"), F.first("_size").alias("_size"))
 
     def contexts(batches):
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 19):
+            for part in unpacked(batch, 1 << 19):
                 raw, offsets = flat(part.column("_text"))
                 list_ = part.column("runs")
                 count = np.diff(np.asarray(list_.offsets))
@@ -264,7 +293,7 @@ def marked(docs: DataFrame, text: str, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((h2 % salts).astype(np.int32)), pa.array(salts > 1), pa.array(h1), pa.array(h2),
                                                   pa.array(s0.astype(np.int32)), out], names=["key", "salt", "hot", "h1", "h2", "s0", "bytes"])
 
-    sent = texts.drop("times").join(lists, "h1").mapInArrow(contexts, "key long, salt int, hot boolean, h1 long, h2 long, s0 int, bytes binary")
+    sent = texts.join(lists, "h1").mapInArrow(contexts, "key long, salt int, hot boolean, h1 long, h2 long, s0 int, bytes binary")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     met = sent.repartition(int(parts), "key", "salt").sortWithinPartitions("key", "salt")
     told = cut_lineage(met.mapInArrow(lambda b: _task(b, length), "h1 long, h2 long, s0 int, s1 int, window long, hot boolean"))
@@ -283,7 +312,7 @@ def strip(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: in
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in unpacked(batch, STEP):
                 raw, offsets = flat(part.column("_text"))
                 size = np.diff(offsets)
                 removed, spans, kept = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), []
@@ -304,5 +333,5 @@ def strip(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: in
                 yield pa.RecordBatch.from_arrays([part.column(ident), pa.array(size), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())],
                                                  names=[ident, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(found, ["h1", "h2"], "left").select(ident, "_text", "times", "spans").mapInArrow(run, schema)
+    return packed(rows, [ident, "h1", "h2"]).join(found, ["h1", "h2"], "left").select(ident, "_packed", "_size", "times", "spans").mapInArrow(run, schema)
 
