@@ -38,9 +38,9 @@ def scene_catalog(t):
 
 
 @query("scenes", """SELECT scene_id, aoi_id, acquired_at, cloud_cover FROM scenes WHERE acquired_at >= TIMESTAMP '2024-01-03' AND acquired_at < TIMESTAMP '2024-01-13'
-AND cloud_cover < 15 ORDER BY acquired_at DESC, scene_id LIMIT 500""")
+AND cloud_cover < 15""")
 def scene_search(t):
-    return S.search(t.scenes, "2024-01-03", "2024-01-12", 15.0, 500).select("scene_id", "aoi_id", "acquired_at", "cloud_cover")
+    return S.search(t.scenes, "2024-01-03", "2024-01-12", 15.0).select("scene_id", "aoi_id", "acquired_at", "cloud_cover")
 
 
 @query("scenes", """SELECT scene_id, aoi_id, cloud_cover FROM scenes WHERE scene_id = 'scene-123'""")
@@ -49,9 +49,9 @@ def scene_by_id(t):
 
 
 BEST = """tg AS (SELECT aoi_id, TIMESTAMP '{0}' AS target_at FROM aois),
-w{1} AS (SELECT s.*, target_at, row_number() OVER (PARTITION BY s.aoi_id ORDER BY acquired_at DESC, scene_id) AS n FROM scenes s JOIN tg{1} USING (aoi_id)
+w{1} AS (SELECT s.*, target_at FROM scenes s JOIN tg{1} USING (aoi_id)
  WHERE acquired_at >= target_at::DATE - 3 AND acquired_at < target_at::DATE + 4 AND cloud_cover < 20),
-d{1} AS (SELECT *, CAST(abs(floor((epoch_us(acquired_at) - epoch_us(target_at)) / 86400000000.0)) AS INT) AS days_off FROM w{1} WHERE n <= 100),
+d{1} AS (SELECT *, CAST(abs(floor((epoch_us(acquired_at) - epoch_us(target_at)) / 86400000000.0)) AS INT) AS days_off FROM w{1}),
 b{1} AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY days_off, cloud_cover, acquired_at DESC, scene_id) AS k FROM d{1})"""
 
 

@@ -114,7 +114,7 @@ s AS (SELECT way_id, count(*) AS vertex_count, arg_min((lon, lat), pos) AS a, ar
 SELECT concat('way/', way_id) AS feature_id, CASE WHEN a = b AND vertex_count >= 4 THEN 'Polygon' ELSE 'LineString' END AS geometry_type, vertex_count, first_x, last_y, way_id::VARCHAR AS osm_id FROM s WHERE vertex_count >= 2""")
 def way_features(t):
     """Lines and closed areas built from ordered way nodes; unknown nodes drop out."""
-    f, _ = A.way_features(t.way_nodes, t.nodes, "building")
+    f = A.way_features(t.way_nodes, t.nodes, "building")
     v = G.vertices(c("geometry"))
     return f.select("feature_id", "geometry_type", F.size(v).cast("long").alias("vertex_count"), F.get(v, F.lit(0))["x"].alias("first_x"),
                     F.element_at(v, -1)["y"].alias("last_y"), c("properties")["osm_id"].alias("osm_id"))
@@ -148,7 +148,7 @@ def geometry_checks(t):
 
 @query("assets", """SELECT asset_id, concat('{"type":"Feature","id":"', asset_id, '","geometry":{"type":"Point","coordinates":[', lon, ',', lat, ']},"properties":{"name":"', name, '","assetType":', asset_type,
 ',"assetTypeName":"', CASE asset_type WHEN 3 THEN 'Building' WHEN 6 THEN 'Hospital' ELSE 'School' END, '","criticality":', criticality, ',"criticalityName":"', CASE criticality WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END,
-'","sourceDataset":"', source_dataset, '"}}') AS feature FROM assets WHERE aoi_id = 'aoi-2' AND asset_type IN (3, 6, 7) ORDER BY asset_id LIMIT 10000""")
+'","sourceDataset":"', source_dataset, '"}}') AS feature FROM assets WHERE aoi_id = 'aoi-2' AND asset_type IN (3, 6, 7)""")
 def asset_feature_export(t):
     """Feature texts of an area's assets of three types."""
     return J.asset_features(t.assets.withColumn("geometry", G.point(c("lon"), c("lat"))), "aoi-2", "3, 6,7")
@@ -264,12 +264,11 @@ def factor_bands(t):
     return f.groupBy("name", N.factor_band(c("points"), c("max_points")).alias("band")).agg(F.count("*").alias("uses"))
 
 
-@query("risk_events", """SELECT risk_event_id, CASE WHEN distance_meters < 1000 THEN concat(CAST(distance_meters AS INT), 'm') ELSE concat(CAST(floor(distance_meters / 1000) AS INT), '.', CAST(floor((distance_meters % 1000 + 50) / 100) AS INT) % 10, 'km') END AS distance_label,
-concat(date_diff('day', created_at, TIMESTAMP '2024-01-01'), 'd ago') AS age_label FROM risk_events WHERE (distance_meters % 1000) < 950""")
+@query("risk_events", """SELECT risk_event_id, CASE WHEN distance_meters < 1000 THEN concat(CAST(distance_meters AS INT), 'm') ELSE concat(CAST(floor((distance_meters + 50) / 1000) AS INT), '.', CAST(floor((distance_meters + 50) % 1000 / 100) AS INT), 'km') END AS distance_label,
+concat(date_diff('day', created_at, TIMESTAMP '2024-01-01'), 'd ago') AS age_label FROM risk_events""")
 def event_labels(t):
     """Distance and age labels of events."""
-    e = t.risk_events.where("(distance_meters % 1000) < 950")
-    return e.select("risk_event_id", N.distance_label(c("distance_meters")).alias("distance_label"),
+    return t.risk_events.select("risk_event_id", N.distance_label(c("distance_meters")).alias("distance_label"),
                     N.age_label(c("created_at"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("age_label"))
 
 

@@ -61,7 +61,7 @@ def events_of_run(t):
 
 
 @query("assets", f"""SELECT asset_id, name, asset_type, {ASSET_TYPE.format('asset_type')} AS asset_type_name FROM assets
-WHERE aoi_id = 'aoi-1' AND asset_type = 4 AND criticality = 2 ORDER BY asset_id LIMIT 1000 OFFSET 5""")
+WHERE aoi_id = 'aoi-1' AND asset_type = 4 AND criticality = 2 ORDER BY asset_id LIMIT 5000 OFFSET 5""")
 def assets_page(t):
     return L.list_assets(t.assets, "aoi-1", 4, 2, skip=5, take=5000).select(
         "asset_id", "name", "asset_type", name_of(ASSET_TYPES, c("asset_type")).alias("asset_type_name"))

@@ -53,7 +53,7 @@ def polygon_terrain_products(t):
 
 
 @query("", """SELECT tile_id, href FROM (SELECT concat('t', lpad(p_partkey::VARCHAR, 7, '0')) AS tile_id, p_partkey % 3 <> 0 AS has_data, concat('s3://pc/', p_partkey, '.laz') AS href FROM part
-WHERE p_partkey % 100 <= 30 AND p_partkey % 100 + 5 >= 10 AND p_size <= 30 AND p_size + 5 >= 10 ORDER BY 1 LIMIT 500) WHERE has_data""")
+WHERE p_partkey % 100 <= 30 AND p_partkey % 100 + 5 >= 10 AND p_size <= 30 AND p_size + 5 >= 10) WHERE has_data""")
 def point_tiles(t):
     """Point-cloud tiles over a box that have a data file."""
     k = c("p_partkey")
@@ -195,12 +195,15 @@ def sample_weights(t):
     return T.sample_weights(masks(t)).select("patch_id", "weight")
 
 
-@query("patches", "SELECT count(*) AS draws, true AS all_known FROM patches")
+@query("patches", """SELECT count(*) AS draws, true AS all_known, true AS near_share FROM patches""")
 def weighted_draws(t):
-    """Draws with replacement in proportion to weight: as many as patches, all of them known."""
-    d = T.weighted_draws(T.sample_weights(masks(t)), "patch_id", 7)
-    return d.join(t.patches.select("patch_id", F.lit(True).alias("known")), "patch_id", "left").agg(
-        F.count("*").alias("draws"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
+    """Draws with replacement in proportion to weight: as many as patches, all known, each weight class near its share (six deviations)."""
+    w = T.sample_weights(masks(t)).withColumn("weight", c("weight") / 4)
+    d = T.weighted_draws(w, "patch_id", 7).join(w.select("patch_id", "weight"), "patch_id", "left").agg(
+        F.count("*").alias("draws"), F.bool_and(c("weight").isNotNull()).alias("all_known"), F.count_if(c("weight") > 0.4).alias("heavy"))
+    share = w.agg((F.sum(F.when(c("weight") > 0.4, c("weight")).otherwise(0)) / F.sum("weight")).alias("share"))
+    off = F.abs(c("heavy") - c("draws") * c("share")) <= 6 * F.sqrt(c("draws") * c("share") * (1 - c("share"))) + 1e-9
+    return d.crossJoin(share).select("draws", "all_known", off.alias("near_share"))
 
 
 def files(t):

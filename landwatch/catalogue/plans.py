@@ -31,9 +31,9 @@ CRITICAL_NEAR = {
 
 
 @query(V, f"""WITH {JOINED} SELECT risk_event_id, risk_score, risk_level, distance_meters FROM j WHERE aoi_id = 'aoi-1' AND risk_level >= 2
-AND distance_meters < 1200 ORDER BY risk_score DESC, created_at DESC, risk_event_id LIMIT 200""")
+AND distance_meters < 1200 ORDER BY risk_score DESC, created_at DESC, risk_event_id LIMIT 500""")
 def plan_events_by_level(t):
-    """Unknown properties and unreadable values drop out; the limit is held at 200."""
+    """Unknown properties and unreadable values drop out; the plan's own limit holds."""
     return answer(t, CRITICAL_NEAR).items.select("risk_event_id", "risk_score", "risk_level", "distance_meters")
 
 
@@ -43,9 +43,9 @@ def plan_events_total(t):
 
 
 @query(V, f"""WITH {JOINED} SELECT risk_event_id, asset_id, distance_meters, asset_name FROM j WHERE distance_meters <= 500 AND asset_type = 6
-AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31' ORDER BY distance_meters, risk_event_id LIMIT 50""")
+AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31'""")
 def plan_events_near_hospitals(t):
-    """Within a distance of an asset type, in a closed date range, nearest first."""
+    """Within a distance of an asset type, in a closed date range, all of them."""
     return answer(t, {
         "targetEntity": "RiskEvent", "orderBy": "DistanceMeters", "orderDescending": False,
         "spatialFilter": {"operation": "within_distance", "referenceEntityType": "Asset", "distanceMeters": 500,
@@ -78,7 +78,7 @@ def plan_landslide_changes(t):
 
 
 @query(V, """SELECT asset_id, name, CASE criticality WHEN 2 THEN 'High' WHEN 3 THEN 'Critical' END AS criticality_name FROM assets
-WHERE criticality >= 2 AND contains(name, '#00000012') ORDER BY name DESC, asset_id LIMIT 50""")
+WHERE criticality >= 2 AND contains(name, '#00000012')""")
 def plan_assets_by_name(t):
     return answer(t, {
         "targetEntity": "Asset", "orderBy": "Name",
@@ -87,18 +87,18 @@ def plan_assets_by_name(t):
     }).items.select("asset_id", "name", "criticality_name")
 
 
-@query(V, """SELECT run_id, aoi_id, status, before_date FROM stored_runs WHERE status = 5 ORDER BY before_date, run_id LIMIT 50""")
+@query(V, """SELECT run_id, aoi_id, status, before_date FROM stored_runs WHERE status = 5""")
 def plan_completed_runs(t):
     return answer(t, '{"targetEntity": "ProcessingRun", "orderBy": "beforeDate", "orderDescending": false,'
                      ' "filters": [{"property": "Status", "operator": "eq", "value": "completed"}]}').items.select(
         "run_id", "aoi_id", "status", "before_date")
 
 
-@query(V, f"""WITH {JOINED}, page AS (SELECT risk_event_id, asset_id, risk_score FROM j WHERE risk_level = 3 ORDER BY risk_score DESC, created_at DESC, risk_event_id LIMIT 200)
+@query(V, f"""WITH {JOINED}, page AS (SELECT risk_event_id, asset_id, risk_score FROM j WHERE risk_level = 3 ORDER BY risk_score DESC, created_at DESC, risk_event_id LIMIT 700)
 SELECT risk_event_id, 'Feature' AS kind, 'Polygon' AS geometry_type, 5 AS vertex_count, asset_id, risk_score FROM page""")
 def plan_event_features(t):
     """Map features of a plan's page, read back from their GeoJSON texts."""
-    f = answer(t, {"targetEntity": "RiskEvent", "limit": 200, "filters": [{"property": "RiskLevel", "operator": "eq", "value": "Critical"}]}).features
+    f = answer(t, {"targetEntity": "RiskEvent", "limit": 700, "filters": [{"property": "RiskLevel", "operator": "eq", "value": "Critical"}]}).features
     g = G.from_geojson(F.get_json_object("feature", "$.geometry"))
     return f.select("risk_event_id", F.get_json_object("feature", "$.type").alias("kind"), g["type"].alias("geometry_type"),
                     F.size(G.vertices(g)).alias("vertex_count"),

@@ -71,6 +71,23 @@ def change_statistics(t):
     return s.select(*[F.round(k, 6).alias(k) for k in ("mean_diff", "min_diff", "max_diff", "change_percent")], "changed_pixels", "total_pixels")
 
 
+@query("pixels", f"""WITH {NDVI}, g AS (SELECT CASE WHEN row_idx % 7 = 0 THEN NULL ELSE b END AS b, CASE WHEN col_idx % 11 = 0 THEN NULL ELSE a END AS a FROM nd),
+e AS (SELECT *, (a - b)::FLOAT AS d FROM g)
+SELECT round(min(b::DOUBLE) FILTER (b <> 0), 6) AS min_before, round(max(a::DOUBLE) FILTER (a <> 0), 6) AS max_after, round(avg(d::DOUBLE) FILTER (d <> 0), 6) AS mean_diff,
+round(max(d::DOUBLE) FILTER (d <> 0), 6) AS max_diff, CAST(count(*) FILTER (d < (-0.2)::FLOAT) AS BIGINT) AS changed_pixels, count(*) AS total_pixels FROM e""")
+def change_with_gaps(t):
+    """NaN bands on both sides: such pixels are unchanged and in no statistic."""
+    nan = F.lit(float("nan"))
+    p = t.pixels.select("row_idx", "col_idx", F.when(c("row_idx") % 7 == 0, nan).otherwise(c("red_before")).alias("rb"), "nir_before", "red_after",
+                        F.when(c("col_idx") % 11 == 0, nan).otherwise(c("nir_after")).alias("na"))
+    before = p.select("row_idx", "col_idx", ndvi(c("rb"), c("nir_before")).alias("ndvi"))
+    after = p.select("row_idx", "col_idx", ndvi(c("red_after"), c("na")).alias("ndvi"))
+    s = R.change_statistics(R.difference(before, after, []), [])
+    low = R.ndvi_statistics(before, []).select(F.round("min_value", 6).alias("min_before"))
+    high = R.ndvi_statistics(after, []).select(F.round("max_value", 6).alias("max_after"))
+    return s.select(F.round("mean_diff", 6).alias("mean_diff"), F.round("max_diff", 6).alias("max_diff"), "changed_pixels", "total_pixels").crossJoin(low).crossJoin(high)
+
+
 # Smallest pixel id each changed pixel can reach over shared sides.
 REGION = f"""{DIFF}, px AS (SELECT row_idx AS r, col_idx AS k, row_idx * 128 + col_idx AS id, d FROM df WHERE m = 1),
 adj AS (SELECT p.id AS a, q.id AS b FROM px p JOIN px q ON (q.r = p.r AND abs(q.k - p.k) = 1) OR (q.k = p.k AND abs(q.r - p.r) = 1)),
@@ -214,16 +231,16 @@ def stacked_bands(t):
     return s.select("scene_id", "row_idx", "col_idx", c("B02").alias("b02"), c("B04").alias("b04"), c("B11").alias("b11"))
 
 
-@query("pixels", """SELECT row_idx, col_idx, CASE WHEN row_idx < 20 THEN elevation_m + 1000 ELSE NULL END AS lidar_m, elevation_m AS chosen_3dep FROM pixels WHERE row_idx < 20""")
+@query("pixels", """SELECT row_idx, col_idx, CASE WHEN row_idx < 20 THEN elevation_m + 1000 ELSE NULL END AS lidar_m, elevation_m + CASE WHEN row_idx < 100 THEN 0 ELSE 5 END AS chosen_3dep FROM pixels""")
 def dem_source_choice(t):
-    """Elevation by source order: lidar where it exists; of two 3dep tiles the first."""
+    """Elevation by source order: lidar where it exists; two 3dep tiles as a mosaic, the first where they overlap."""
     p = t.pixels.select("row_idx", "col_idx", "elevation_m")
-    dem = (p.select(F.lit("3dep").alias("source"), F.lit("t1").alias("tile_id"), "*")
-           .unionByName(p.select(F.lit("3dep").alias("source"), F.lit("t2").alias("tile_id"), "row_idx", "col_idx", (c("elevation_m") + 5).alias("elevation_m")))
+    dem = (p.select(F.lit("3dep").alias("source"), F.lit("t1").alias("tile_id"), "*").where("row_idx < 100")
+           .unionByName(p.select(F.lit("3dep").alias("source"), F.lit("t2").alias("tile_id"), "row_idx", "col_idx", (c("elevation_m") + 5).alias("elevation_m")).where("row_idx >= 50"))
            .unionByName(p.where("row_idx < 20").select(F.lit("lidar").alias("source"), F.lit("l1").alias("tile_id"), "row_idx", "col_idx", (c("elevation_m") + 1000).alias("elevation_m"))))
     lidar = T.choose_dem(dem, "lidar").select("row_idx", "col_idx", c("elevation_m").alias("lidar_m"))
     base = T.choose_dem(dem, "3dep").select("row_idx", "col_idx", c("elevation_m").alias("chosen_3dep"))
-    return lidar.join(base, ["row_idx", "col_idx"])
+    return base.join(lidar, ["row_idx", "col_idx"], "left")
 
 
 @query("changes", """SELECT change_id, round(lon - half_size_deg, 9) AS min_x, round(lat + half_size_deg, 9) AS max_y, round(lon, 9) AS center_x, round(lat, 9) AS center_y,

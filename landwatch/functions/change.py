@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def ndvi(red: Column, nir: Column, nodata: float = 0.0) -> Column:
-    """(nir - red) / (nir + red) clipped to [-1, 1]; a zero denominator gives nodata, clipped too."""
+    """(nir - red) / (nir + red) clipped to [-1, 1]; a zero denominator gives nodata, clipped too, and NaN stays NaN."""
     r, n = red.cast("double"), nir.cast("double")
     total = n + r
     ratio = F.when(total != 0, (n - r) / total).when(total == 0, F.lit(float(nodata)))
-    return F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)).cast("float")
+    clipped = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))  # NaN orders above every number here
+    return F.when(F.isnan(ratio), ratio).otherwise(clipped).cast("float")
 
 
 def null_if_not_finite(value: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from landwatch.schema import ASSET_TYPES, RISK_LEVELS, RUN_STATUSES, name_of
 
 c = F.col
-MAX_ASSETS = 1000  # fixed value: largest page of assets
 
 
 def with_run(events: DataFrame, changes: DataFrame, runs: DataFrame) -> DataFrame:
@@ -41,10 +40,10 @@ def page(df: DataFrame, order: list[Column], key: str, limit: int, offset: int =
 
 
 def list_assets(assets: DataFrame, aoi_id=None, asset_type=None, criticality=None, skip=0, take=100) -> DataFrame:
-    """A page of assets by id, never more than the page maximum."""
+    """A page of ``take`` assets by id."""
     for name, value in (("aoi_id", aoi_id), ("asset_type", asset_type), ("criticality", criticality)):
         assets = assets if value is None else assets.where(c(name) == value)
-    return page(assets, [], "asset_id", min(take, MAX_ASSETS), skip)
+    return page(assets, [], "asset_id", take, skip)
 
 
 def unacknowledged(events: DataFrame, min_level: int | None = None) -> DataFrame:

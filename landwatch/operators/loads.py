@@ -39,8 +39,8 @@ def load_changes(batch: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def make_asset_id(aoi_id: Column, *content: Column) -> Column:
-    """Area id, a dash and a digest of the content, cut to 36 characters: the same on every retry."""
-    return F.left(F.concat(aoi_id, F.lit("-"), F.sha2(F.concat_ws("|", *content), 256)), F.lit(36))
+    """Area id, a dash and the whole digest of the content: the same on every retry, and no area's id shortens it."""
+    return F.concat(aoi_id, F.lit("-"), F.sha2(F.concat_ws("|", *content), 256))
 
 
 def load_assets(batch: DataFrame, existing: DataFrame, areas: DataFrame, order: str,
@@ -93,7 +93,7 @@ def outcome(good: DataFrame, bad: DataFrame) -> DataFrame:
     return ok.unionByName(bad.groupBy("error").agg(F.count("*").alias("rows")))
 
 
-def error_sample(bad: DataFrame, key: str, size: int = 100) -> DataFrame:
+def error_sample(bad: DataFrame, key: str, size: int) -> DataFrame:
     """The first failures by key, for display."""
     return bad.orderBy(key).limit(size)
 

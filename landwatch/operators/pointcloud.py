@@ -11,15 +11,13 @@ from landwatch.operators.skew import salted_join
 
 c = F.col
 GROUND = 2  # fixed value: class code of ground returns
-MAX_TILES = 500  # fixed value: tiles one search returns
 
 
-def search_tiles(tiles: DataFrame, box: tuple[float, float, float, float], max_items: int = MAX_TILES) -> DataFrame:
-    """Catalog tiles that meet a box and have a data file, in id order up to the search limit."""
+def search_tiles(tiles: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Catalog tiles that meet a box and have a data file."""
     hit = ((c("min_x") <= box[2]) & (c("max_x") >= box[0]) & (c("min_y") <= box[3]) & (c("max_y") >= box[1]))
     href = F.try_element_at(c("assets"), F.lit("data"))["href"]
-    found = tiles.withColumn("href", href).where(hit)
-    return found.orderBy("tile_id").limit(max_items).where(c("href").isNotNull())
+    return tiles.withColumn("href", href).where(hit & c("href").isNotNull())
 
 
 def within(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -99,7 +97,7 @@ def polygon_products(boxes: DataFrame, points: DataFrame, key: str, pad: float,
     return products(polygon_points(wide, points, key, cell), [key], resolution)
 
 
-def surface_sample(raster: DataFrame, keys: list[str], value: str, nodata: float = -9999.0, most: int = 700) -> DataFrame:
+def surface_sample(raster: DataFrame, keys: list[str], value: str, most: int, nodata: float = -9999.0) -> DataFrame:
     """Every n-th cell, so that no axis keeps more than about ``most``, with height scaled to 0..1."""
     v = F.when((c(value) != nodata) & (F.abs(c(value)) != float("inf")), c(value))
     size = raster.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), (F.max("row_idx") + 1).alias("_h"), (F.max("col_idx") + 1).alias("_w"))

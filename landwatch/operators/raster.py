@@ -96,7 +96,7 @@ def scene_ndvi(bands: DataFrame, keys: list[str], nodata: float = 0.0) -> tuple[
 
 def ndvi_statistics(ndvi_pixels: DataFrame, keys: list[str], value: str = "ndvi", nodata: float = 0.0) -> DataFrame:
     """Minimum, maximum and mean of valid pixels; (-1, 1, 0) when none is valid."""
-    v = F.when(c(value) != nodata, c(value).cast("double"))
+    v = F.when((c(value) != nodata) & ~F.isnan(c(value)), c(value).cast("double"))
     return ndvi_pixels.groupBy(*keys).agg(
         F.coalesce(F.min(v), F.lit(-1.0)).alias("min_value"), F.coalesce(F.max(v), F.lit(1.0)).alias("max_value"),
         F.coalesce(F.avg(v), F.lit(0.0)).alias("mean_value"))
@@ -124,8 +124,8 @@ def paired_difference(bands: DataFrame, keys: list[str], threshold: float = -0.2
 
 
 def change_statistics(diff: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, least and greatest non-zero difference, changed and total pixels, percent changed."""
-    v = F.when(c("ndvi_diff") != 0, c("ndvi_diff").cast("double"))
+    """Mean, least and greatest non-zero difference (NaN left out), changed and total pixels, percent changed."""
+    v = F.when((c("ndvi_diff") != 0) & ~F.isnan("ndvi_diff"), c("ndvi_diff").cast("double"))
     hit = F.sum(c("changed").cast("bigint"))
     return diff.groupBy(*keys).agg(
         F.coalesce(F.avg(v), F.lit(0.0)).alias("mean_diff"), F.coalesce(F.min(v), F.lit(0.0)).alias("min_diff"),

@@ -120,11 +120,11 @@ def terrain_statistics(zones: DataFrame, terrain: DataFrame, grid: Grid, zone_ke
 DEM_SOURCES = ("3dep", "lidar", "local")  # fixed values
 
 
-def choose_dem(dem: DataFrame, source: str, keys: list[str] | None = None) -> DataFrame:
+def choose_dem(dem: DataFrame, source: str, keys: list[str] | None = None, pixel: tuple[str, ...] = ("row_idx", "col_idx")) -> DataFrame:
     """Elevation rows of the wanted source; lidar falls back to 3dep pixel rasters where it has none.
 
-    ``dem`` has source, tile_id and pixel columns. Of several 3dep tiles only the first is used.
-    Unknown sources give no rows.
+    ``dem`` has source, tile_id and pixel columns. All tiles of the source form one mosaic; where
+    tiles overlap the first by id gives the pixel. Unknown sources give no rows.
     """
     keys = keys or []
     order = {"3dep": ["3dep"], "lidar": ["lidar", "3dep"], "local": ["local"]}.get(source, [])
@@ -132,6 +132,9 @@ def choose_dem(dem: DataFrame, source: str, keys: list[str] | None = None) -> Da
         return dem.limit(0)
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), c("source"))
     usable = dem.where(c("source").isin(order)).withColumn("_rank", rank)
-    best = usable.groupBy(*keys).agg(F.min("_rank").alias("_best"), F.min(F.when(c("source") == "3dep", c("tile_id"))).alias("_tile"))
+    best = usable.groupBy(*keys).agg(F.min("_rank").alias("_best"))
     joined = usable.join(best, keys) if keys else usable.crossJoin(F.broadcast(best))
-    return joined.where((c("_rank") == c("_best")) & ((c("source") != "3dep") | (c("tile_id") == c("_tile")))).drop("_rank", "_best", "_tile")
+    chosen = joined.where(c("_rank") == c("_best")).drop("_rank", "_best")
+    rest = [k for k in dem.columns if k not in (*keys, *pixel)]
+    first = F.min_by(F.struct(*rest), "tile_id").alias("_first")
+    return chosen.groupBy(*keys, *pixel).agg(first).select(*keys, *pixel, "_first.*").select(*dem.columns)

@@ -70,20 +70,29 @@ def sample_weights(masks: DataFrame, mask: str = "mask") -> DataFrame:
     return masks.withColumn("weight", F.when(F.exists(mask, lambda v: v > 0), 2.0).otherwise(1.0))
 
 
-def weighted_draws(weighted: DataFrame, key: str, seed: int, buckets: int = 4096) -> DataFrame:
+def weighted_draws(weighted: DataFrame, key: str, seed: int, buckets: int = 512) -> DataFrame:
     """As many draws with replacement as there are patches, each with chance in proportion to its weight.
 
-    A patch owns as many slots as its (whole) weight. Slots are numbered inside hash buckets and
-    shifted by the bucket totals, so there is no global sort; draws meet slots by an equi-join.
+    A patch owns an interval as long as its weight, any number from 0 on. A draw first takes a hash
+    bucket, by an interval join with the few bucket totals, then a patch inside it; there is no global sort.
     """
-    b = weighted.select(key, c("weight").cast("int").alias("_w"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"))
-    run = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    inside = b.withColumn("_at", F.coalesce(F.sum("_w").over(run), F.lit(0)))
+    b = weighted.where(c("weight") > 0).select(key, c("weight").cast("double").alias("_w"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"))
+    run = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = b.withColumn("_to", F.sum("_w").over(run))
     totals = b.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    shift = totals.withColumn("_shift", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")  # one row per bucket
-    slots = inside.join(shift, "_b").withColumn("slot", F.explode(F.sequence(c("_shift") + c("_at"), c("_shift") + c("_at") + c("_w") - 1)))
-    size = b.agg(F.sum("_w").alias("_slots"))
-    draws = b.crossJoin(F.broadcast(size)).select(
-        F.pmod(F.xxhash64(c(key), F.lit(seed)), c("_slots")).alias("slot"))
-    return draws.join(slots.select("slot", key), "slot").select(key)
+    edges = totals.agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_all"))  # ``buckets`` entries at most
+    ends = F.transform(F.sequence(F.lit(1), F.size("_all")), lambda i: F.aggregate(F.slice("_all", F.lit(1), i), F.lit(0.0), lambda s, x: s + x["_t"]))
+    edges = edges.select("_all", ends.alias("_ends")).withColumn("_whole", F.element_at("_ends", -1))
+    # 53 bits of a hash make a number in [0, 1)
+    part = F.shiftrightunsigned(F.xxhash64(c(key), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    placed = weighted.crossJoin(F.broadcast(edges)).select(c(key).alias("_k"), (part * c("_whole")).alias("_u"), "_all", "_ends").select(
+        "_k", "_u", (F.size(F.filter("_ends", lambda e: e <= c("_u"))) + 1).alias("_i"), "_all", "_ends")
+    place = F.least("_i", F.size("_all"))
+    draws = placed.select("_k", F.get("_all", place - 1)["_b"].alias("_b"), (c("_u") - F.coalesce(F.get("_ends", place - 2), F.lit(0.0))).alias("_at"))
+    # inside a bucket draws and intervals are merged in one order: a draw takes the next interval's end at or after it
+    both = draws.select("_b", c("_at").alias("_x"), F.lit(None).cast(weighted.schema[key].dataType).alias(key), F.lit(0).alias("_kind")).unionByName(
+        inside.select("_b", c("_to").alias("_x"), key, F.lit(1).alias("_kind")))
+    ahead = Window.partitionBy("_b").orderBy(c("_x").desc(), c("_kind").asc())
+    last = F.max_by(key, "_x").over(Window.partitionBy("_b"))
+    return both.withColumn(key, F.coalesce(F.last(F.when(c("_kind") == 1, c(key)), True).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)), last)).where(
+        "_kind = 0").select(key)

@@ -13,8 +13,6 @@ from landwatch.plans.query_plan import AttributeFilter, QueryPlan, as_float, as_
 from landwatch.schema import (
     ASSET_TYPES, CHANGE_TYPES, CRITICALITIES, RISK_LEVELS, RUN_STATUSES, name_of, parse_code)
 
-MAX_RESULTS, DEFAULT_RESULTS = 200, 50  # fixed values
-
 COMPARE = {
     "eq": lambda c, v: c == v, "neq": lambda c, v: c != v, "gt": lambda c, v: c > v,
     "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v,
@@ -182,10 +180,11 @@ def matching(tables: dict[str, DataFrame], plan: QueryPlan) -> DataFrame:
 
 
 def execute_plan(tables: dict[str, DataFrame], plan: QueryPlan) -> Answer:
-    """Total before paging, the ordered page, and its map features.
+    """Total before paging, the items, and their map features.
 
-    ``tables`` holds risk_events, changes, runs and assets. The primary key is always the last sort
-    key, so a page is the same on every run. Counts of events per change join only to the page.
+    ``tables`` holds risk_events, changes, runs and assets. A plan with a limit gets its ordered page
+    and the primary key is always the last sort key, so a page is the same on every run; a plan
+    without one gets all rows.
     """
     entity = plan.target_entity
     _, key, order_cols, default = SHAPE[entity]
@@ -196,10 +195,9 @@ def execute_plan(tables: dict[str, DataFrame], plan: QueryPlan) -> Answer:
         order = [c(k).desc() for k in default]
     else:
         order = [c(named).desc() if plan.order_descending else c(named).asc()]
-    limit = max(0, min(DEFAULT_RESULTS if plan.limit is None else plan.limit, MAX_RESULTS))
-    items = _named(df.orderBy(*order, c(key)).limit(limit), entity)
+    items = _named(df if plan.limit is None else df.orderBy(*order, c(key)).limit(max(0, plan.limit)), entity)
     if entity == "ChangePolygon" and "risk_events" in tables:
-        counts = (tables["risk_events"].join(F.broadcast(items.select("change_id")), "change_id", "left_semi")
+        counts = (tables["risk_events"].join(items.select("change_id"), "change_id", "left_semi")
                   .groupBy("change_id").agg(F.count("*").alias("risk_event_count")))
         items = (items.join(counts, "change_id", "left")
                  .withColumn("risk_event_count", F.coalesce("risk_event_count", F.lit(0)).cast("long")))

@@ -102,26 +102,23 @@ def way_shapes(vertices: DataFrame, primary_tag: str) -> DataFrame:
     return (ends.where("vertex_count >= 2").withColumn("geometry_type", F.when(ring, "Polygon").otherwise("LineString")).drop("_a", "_b"))
 
 
-def way_features(way_nodes: DataFrame, nodes: DataFrame, primary_tag: str, tags: DataFrame | None = None,
-                 most_vertices: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(features of ways, vertex rows of ways too long for one array).
+def way_features(way_nodes: DataFrame, nodes: DataFrame, primary_tag: str, tags: DataFrame | None = None) -> DataFrame:
+    """Features of all ways with at least two known nodes.
 
     A geometry is one value, so its vertices meet in one row; the source format allows 2000 nodes a
-    way. Ways beyond ``most_vertices`` are kept whole in long form instead.
+    way. ``way_vertices`` has the same in long form.
     """
     v = way_vertices(way_nodes, nodes)
     shapes = way_shapes(v, primary_tag)
-    fit = shapes.where(c("vertex_count") <= most_vertices)
     xy = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: G.vertex(p["x"], p["y"]))
-    built = v.join(fit.select("way_id"), "way_id", "left_semi").groupBy("way_id").agg(F.array(F.array(xy)).alias("_parts"))
-    out = fit.join(built, "way_id").withColumn("geometry", G.geometry(c("geometry_type"), c("_parts"))).drop("_parts")
+    built = v.groupBy("way_id").agg(F.array(F.array(xy)).alias("_parts"))
+    out = shapes.join(built, "way_id").withColumn("geometry", G.geometry(c("geometry_type"), c("_parts"))).drop("_parts")
     own = F.create_map(F.lit("osm_id"), c("way_id").cast("string"), F.lit("osm_type"), F.lit("way"))
     if tags is not None:
         out = out.join(tags, "way_id", "left").withColumn("properties", overlay(own, c("tags"))).drop("tags")
     else:
         out = out.withColumn("properties", own)
-    out = out.withColumn("feature_id", F.concat(F.lit("way/"), "way_id"))
-    return out, v.join(shapes.where(c("vertex_count") > most_vertices), "way_id")
+    return out.withColumn("feature_id", F.concat(F.lit("way/"), "way_id"))
 
 
 def node_features(nodes: DataFrame) -> DataFrame:

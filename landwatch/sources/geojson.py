@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +14,17 @@ from landwatch.schema import ASSET_TYPES, CHANGE_TYPES, CRITICALITIES, name_of
 
 c = F.col
 FEATURE = "struct<type:string,id:string,geometry:string,properties:map<string,string>>"
-MAX_FEATURES = 10000  # fixed value: most features in one exported collection
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Features of collection files with their position; a missing path gives an empty frame."""
     empty = spark.createDataFrame([], f"seq bigint, feature {FEATURE}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+    try:
+        raw = spark.read.schema(f"features array<{FEATURE}>").json(path, multiLine=True)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return feature_rows(empty, c("feature"), "seq")
-    raw = spark.read.schema(f"features array<{FEATURE}>").json(path, multiLine=True)
     return feature_rows(raw.select(F.posexplode("features").alias("seq", "feature")), c("feature"), "seq")
 
 
@@ -63,8 +65,8 @@ def filter_to_box(df: DataFrame, dataset: str, seq: str, box: tuple[float, float
     return d.where(hit).withColumn("geometry", G.geometry(c("geometry.type"), parts)).drop("_merc")
 
 
-def asset_features(assets: DataFrame, aoi_id: str, asset_types: str | None = None, most: int | None = MAX_FEATURES) -> DataFrame:
-    """Feature texts of an area's assets, optionally of a comma list of type codes, up to the export limit."""
+def asset_features(assets: DataFrame, aoi_id: str, asset_types: str | None = None, most: int | None = None) -> DataFrame:
+    """Feature texts of an area's assets, optionally of a comma list of type codes; all, or the first ``most`` by id."""
     df = assets.where(c("aoi_id") == aoi_id)
     codes = [int(v) for v in (asset_types or "").split(",") if v.strip().isdigit()]
     df = df.where(c("asset_type").isin(codes)) if codes else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landwatch.operators.ranking import first_by
@@ -13,7 +13,6 @@ from landwatch.schema import SCENE_BANDS
 c = F.col
 ITEM = ("struct<id:string,bbox:array<double>,properties:struct<datetime:string,`eo:cloud_cover`:double,platform:string,"
         "`proj:epsg`:int,gsd:double,instruments:array<string>>,assets:map<string,struct<href:string,type:string>>>")
-MAX_CANDIDATES = 100  # fixed value: newest scenes a search returns by default
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +47,7 @@ def band_url(bands: Column, band: str) -> Column:
 
 
 def scene_by_id(scenes: DataFrame, scene_id: str) -> DataFrame:
-    return scenes.where(c("scene_id") == scene_id).limit(1)
+    return scenes.where(c("scene_id") == scene_id)
 
 
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -56,9 +55,9 @@ def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
             & (a["min_lat"] <= b["max_lat"]) & (a["max_lat"] >= b["min_lat"]))
 
 
-def search(scenes: DataFrame, start: str, end: str, max_cloud: float = 20.0, max_items: int | None = MAX_CANDIDATES,
+def search(scenes: DataFrame, start: str, end: str, max_cloud: float = 20.0, max_items: int | None = None,
            box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Scenes on the days start..end with strictly less cloud, newest first.
+    """All scenes on the days start..end with strictly less cloud; a page of the newest if ``max_items`` asks for one.
 
     Dates and cloud are plain comparisons on columns, so they reach the Parquet scan.
     """
@@ -68,22 +67,19 @@ def search(scenes: DataFrame, start: str, end: str, max_cloud: float = 20.0, max
     if box is not None:
         corners = dict(zip(("min_lon", "min_lat", "max_lon", "max_lat"), map(F.lit, box)))
         df = df.where(boxes_meet({k: c(k) for k in corners}, corners))
-    df = df.orderBy(c("acquired_at").desc(), "scene_id")
-    return df if max_items is None else df.limit(max_items)
+    return df if max_items is None else df.orderBy(c("acquired_at").desc(), "scene_id").limit(max_items)
 
 
 def best_scenes(scenes: DataFrame, targets: DataFrame, window_days: int = 30, max_cloud: float = 20.0) -> DataFrame:
     """Best scene of every (area, target): fewest whole days away, then least cloud, then newest.
 
-    ``targets`` has aoi_id and target_at; scenes carry aoi_id. Only the newest 100 in the window
-    compete, which Spark prunes per task before the shuffle (a row_number bound).
+    ``targets`` has aoi_id and target_at; scenes carry aoi_id. All scenes of the window
+    compete, in an aggregate that combines on the map side.
     """
     near = (scenes.join(targets, "aoi_id")
             .where((c("acquired_at") >= F.date_sub(c("target_at").cast("date"), window_days).cast("timestamp_ntz"))
                    & (c("acquired_at") < F.date_add(c("target_at").cast("date"), window_days + 1).cast("timestamp_ntz"))
                    & (c("cloud_cover") < max_cloud)))
-    newest = Window.partitionBy("aoi_id", "target_at").orderBy(c("acquired_at").desc(), "scene_id")
-    near = near.withColumn("_n", F.row_number().over(newest)).where(c("_n") <= MAX_CANDIDATES).drop("_n")
     seconds = F.unix_micros(c("acquired_at").cast("timestamp")) - F.unix_micros(c("target_at").cast("timestamp"))
     near = near.withColumn("days_off", F.abs(F.floor(seconds / 86400000000)).cast("int"))
     return first_by(near, ["aoi_id", "target_at"],

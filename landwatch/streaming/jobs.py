@@ -44,18 +44,18 @@ def candidate_runs(scenes: DataFrame, areas: DataFrame, runs: DataFrame, now: Co
     return hit.select("aoi_id", "scene_id", "acquired_at", "cloud_cover", before.alias("before_day"), day.alias("after_day"))
 
 
-def new_scene_job(scenes: DataFrame, areas: DataFrame, runs: DataFrame, now: Column, sink: str, checkpoint: str,
-                  delay: str = "30 days") -> StreamingQuery:
-    """Scene stream to candidate runs; a scene announced again within the delay is dropped."""
-    seen = scenes.withColumn("acquired_at", c("acquired_at").cast("timestamp")).withWatermark("acquired_at", delay)
-    return _start(candidate_runs(seen.dropDuplicatesWithinWatermark(["scene_id"]), areas, runs, now), sink, checkpoint)
-
-
-def alert_job(events: DataFrame, sink: str, checkpoint: str, minimum: dict[str, int] | None = None,
-              delay: str = "10 days") -> StreamingQuery:
-    """Risk-event stream to alert rows per channel; an event seen again within the delay is dropped."""
-    timed = events.withColumn("created_at", c("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    fresh = timed.dropDuplicatesWithinWatermark(["risk_event_id"])
+def new_scene_job(scenes: DataFrame, areas: DataFrame, runs: DataFrame, now: Column, sink: str, checkpoint: str) -> StreamingQuery:
+    """Scene stream to candidate runs; a scene announced again is dropped, however late, and none is lost for being late."""
+    seen = scenes.withColumn("acquired_at", c("acquired_at").cast("timestamp"))
+    return _start(candidate_runs(seen.dropDuplicates(["scene_id"]), areas, runs, now), sink, checkpoint)
+
+
+def alert_job(events: DataFrame, sink: str, checkpoint: str, minimum: dict[str, int] | None = None) -> StreamingQuery:
+    """Risk-event stream to alert rows per channel; an event seen again is dropped, however late, and none is lost for being late.
+
+    Seen ids stay in state, hash-partitioned and spilled by the state store.
+    """
+    fresh = events.withColumn("created_at", c("created_at").cast("timestamp")).dropDuplicates(["risk_event_id"])
     return _start(alert_rows(fresh, minimum or ALERT_LEVELS), sink, checkpoint)
 
 
