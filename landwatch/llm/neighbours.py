@@ -118,10 +118,9 @@ class Graph:
         return np.maximum(dist, 0)
 
 
-def fit(vectors: DataFrame, vector: str, longest: float, count: int, list_size: int) -> np.ndarray:
+def fit(vectors: DataFrame, vector: str, longest: float, lists: int) -> np.ndarray:
     """Centroids from at most ``SAMPLE`` of the vectors, those of least hash; one task, a bounded sample."""
     sample = vectors.select(c(vector).alias("_v"), F.xxhash64(vector).alias("_h")).orderBy("_h").limit(SAMPLE)
-    lists = int(min(MOST_LISTS, max(1, count // list_size)))
 
     def run(batches):
         rows = [matrix(b.column("_v")) for b in batches if b.num_rows]
@@ -161,9 +160,12 @@ def assign(df: DataFrame, vector: str, shared, longest: float, query: bool, rati
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("_list", T.IntegerType()), T.StructField("_first", T.BooleanType())]))
 
 
-def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedding", k: int = 20, list_size: int = 100, replicas: int = 2,
-           border: float = 1.03, probe: float = 1.14) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` nearest found of every query row."""
+def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedding", k: int = 20, density: float = 1.0, replicas: int = 2,
+           border: float = 1.03, probe: float = 1.12) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the ``k`` nearest found of every query row.
+
+    There are ``density`` times the root of the number of vectors lists, so that what queries read grows with its power 1.5 at most.
+    """
     spark = df.sparkSession
     usable = df.select(c(ident).alias("_id"), c(vector).alias("_v"), is_query.alias("_q")).where(
         c("_id").isNotNull() & c("_v").isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("_v", lambda x: x != 0))
@@ -178,7 +180,7 @@ def search(df: DataFrame, is_query, ident: str = "vec_id", vector: str = "embedd
     vectors = cut_lineage(first.groupBy("_v").agg(F.array_sort(F.collect_list("_id")).alias("_ids")))  # k + 1 ids at most
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     longest, count = vectors.agg(F.max(norm), F.count("*")).first()
-    shared = spark.sparkContext.broadcast(fit(vectors, "_v", longest, count, list_size))
+    shared = spark.sparkContext.broadcast(fit(vectors, "_v", longest, int(min(MOST_LISTS, max(1, density * count**0.5)))))
     asked = usable.where("_q").groupBy("_v").agg(F.min("_id").alias("_qid"))
     postings = cut_lineage(assign(vectors, "_v", shared, longest, False, border, 1, replicas).drop("_first"))
     reads = cut_lineage(assign(asked, "_v", shared, longest, True, probe, 24, None))

@@ -121,7 +121,7 @@ def test_neighbours(spark):
     rows += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (2080, [1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = {}
-    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, list_size=50).collect():
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(range(0, 1500, 20))
     hits, y = 0, x.astype(np.float64)
