@@ -109,5 +109,5 @@ def streamed_run_states(t):
     """Status-log stream to run states; equals the batch fold."""
     out, progress = places(t)
     jobs.run_state_job(run_log(streamed(t, "events")), out, progress).awaitTermination()
-    s = jobs.newest_state(t.spark.read.parquet(out))
+    s = jobs.newest_state(t.spark.read.parquet(f"{out}/state"))
     return s.select("run_id", "status", c("started_at").cast("timestamp_ntz").alias("started_at"), c("completed_at").cast("timestamp_ntz").alias("completed_at"), "before_scene_id")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from landwatch.catalogue.rasters import GRID, terrain
+from landwatch.catalogue.rasters import grid, terrain
 from landwatch.catalogue.registry import query
 from landwatch.operators import patches as P
 from landwatch.operators import pointcloud as C
@@ -35,7 +35,7 @@ def point_cloud_metadata(t):
 
 def boxes(t):
     """Boxes of landslide polygons in the point cloud's plane."""
-    k = c("s_suppkey")
+    k, tall = c("s_suppkey"), grid(t).rows * 10
     return t.supplier.select(F.concat(F.lit("poly-"), k).alias("polygon_id"), (k * 7 % 45 + 1).cast("double").alias("min_x"),
                              (k * 11 % 45 + 1).cast("double").alias("min_y")).withColumns({"max_x": c("min_x") + 2, "max_y": c("min_y") + 2})
 
@@ -82,26 +82,26 @@ def surface_sample(t):
 # --- patches -------------------------------------------------------------------
 
 def centres(t):
-    k = c("s_suppkey")
+    k, tall = c("s_suppkey"), grid(t).rows * 10
     return t.supplier.select(F.concat(F.lit("p-"), k).alias("polygon_id"), (k * 137 % 1280).cast("double").alias("px"),
-                             (-(k * 211 % 1200)).cast("double").alias("py"), (k % 30).cast("double").alias("slope_degree_mean"))
+                             (-(k * 211 % tall)).cast("double").alias("py"), (k % 30).cast("double").alias("slope_degree_mean"))
 
 
-WINDOW = """ce AS (SELECT concat('p-', s_suppkey) AS polygon_id, least(127, s_suppkey * 137 % 1280 // 10) AS k, least(1171, s_suppkey * 211 % 1200 // 10) AS r, s_suppkey % 30 AS slope FROM supplier),
-wi AS (SELECT *, greatest(r - 16, 0) AS r0, least(r + 16, 1172) AS r1, greatest(k - 16, 0) AS c0, least(k + 16, 128) AS c1 FROM ce),
+WINDOW = """ce AS (SELECT concat('p-', s_suppkey) AS polygon_id, least(127, s_suppkey * 137 % 1280 // 10) AS k, s_suppkey * 211 % (10 * h) // 10 AS r, s_suppkey % 30 AS slope, h FROM supplier CROSS JOIN (SELECT max(row_idx) + 1 AS h FROM pixels)),
+wi AS (SELECT *, greatest(r - 16, 0) AS r0, least(r + 16, h) AS r1, greatest(k - 16, 0) AS c0, least(k + 16, 128) AS c1 FROM ce),
 pa AS (SELECT polygon_id, slope, row_idx - r0 + (32 - (r1 - r0)) // 2 AS p_row, col_idx - c0 + (32 - (c1 - c0)) // 2 AS p_col, red_before, nir_before, elevation_m
  FROM wi JOIN pixels ON row_idx >= r0 AND row_idx < r1 AND col_idx >= c0 AND col_idx < c1)"""
 
 
 def patches(t, values):
-    found = P.patch_pixels(centres(t), t.pixels, GRID, "polygon_id", "px", "py", 32, values)
+    found = P.patch_pixels(centres(t), t.pixels, grid(t), "polygon_id", "px", "py", 32, values)
     return P.dense_patches(found, "polygon_id", 32, values)
 
 
 @query("pixels", f"""WITH {WINDOW} SELECT polygon_id, count(*) AS pixels, CAST(sum((p_row * 32 + p_col) * red_before) AS BIGINT) AS placed_sum, CAST(min(p_row) AS INT) AS first_row, CAST(min(p_col) AS INT) AS first_col FROM pa GROUP BY polygon_id""")
 def patch_windows(t):
     """Pixels of the patch around each polygon centre, clamped and centred."""
-    f = P.patch_pixels(centres(t), t.pixels, GRID, "polygon_id", "px", "py", 32, ["red_before"])
+    f = P.patch_pixels(centres(t), t.pixels, grid(t), "polygon_id", "px", "py", 32, ["red_before"])
     return f.groupBy("polygon_id").agg(F.count("*").alias("pixels"), F.sum((c("p_row") * 32 + c("p_col")).cast("long") * c("red_before")).alias("placed_sum"),
                                        F.min("p_row").alias("first_row"), F.min("p_col").alias("first_col"))
 

@@ -11,7 +11,12 @@ from landwatch.operators import regions as C
 from landwatch.operators import terrain as T
 
 c = F.col
-GRID = R.Grid(0.0, 0.0, 10.0, -10.0, 1172, 128)
+
+
+def grid(t, step=1):
+    """Pixels of 10 m, or ``step`` times that, over as many rows as the raster has."""
+    rows = t.pixels.agg(F.max("row_idx")).first()[0]
+    return R.Grid(0.0, 0.0, 10.0 * step, -10.0 * step, rows // step + 1, 128 // step)
 
 
 def ndvi_side(t, side):
@@ -113,7 +118,7 @@ SELECT (component_id // 128 * 2147483648 + component_id % 128)::BIGINT AS compon
 CASE WHEN mean_d < -0.2 THEN 'VegetationLoss' ELSE 'Unknown' END AS change_type FROM sz JOIN sides USING (component_id) WHERE pixels * 100 >= 500""")
 def change_polygons(t):
     """Regions of at least 500 square metres as polygons: traced area and outline length against pixel counts."""
-    found = C.detect_regions(diff(t), [], GRID, min_area_m2=500.0, tile=32)
+    found = C.detect_regions(diff(t), [], grid(t), min_area_m2=500.0, tile=32)
     g = c("geometry")
     step = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.abs(q["x"] - p["x"]) + F.abs(q["y"] - p["y"]))
     length = F.aggregate(F.flatten(F.transform(F.flatten(g["parts"]), step)), F.lit(0.0), lambda a, v: a + v)
@@ -150,7 +155,7 @@ INSIDE = """ON p.col_idx * 10 + 5 BETWEEN z.zx - half_m AND z.zx + half_m AND -(
 @query("pixels zones", f"""SELECT z.zone_id, count(*) AS pixels, sum(p.elevation_m) AS elevation_sum, min(row_idx) AS first_row FROM zones z JOIN pixels p {INSIDE} GROUP BY z.zone_id""")
 def zonal_pixels(t):
     """Pixels whose centre lies in each zone."""
-    return T.zonal_pixels(zones(t), t.pixels, GRID, "zone_id", ["elevation_m"]).groupBy("zone_id").agg(
+    return T.zonal_pixels(zones(t), t.pixels, grid(t), "zone_id", ["elevation_m"]).groupBy("zone_id").agg(
         F.count("*").alias("pixels"), F.sum("elevation_m").alias("elevation_sum"), F.min("row_idx").alias("first_row"))
 
 
@@ -160,26 +165,22 @@ SELECT zone_id, round(coalesce(e, 0), 4) AS elevation_m, round(coalesce(s, 0), 4
 round(coalesce(CASE WHEN a < 0 THEN a + 360 ELSE a END, 0), 4) AS aspect_degrees FROM zt""")
 def zone_terrain(t):
     """Terrain statistics of zones, mean aspect on the circle, 0 for zones off the raster."""
-    s = T.terrain_statistics(zones(t), terrain(t), GRID, "zone_id")
+    s = T.terrain_statistics(zones(t), terrain(t), grid(t), "zone_id")
     return s.select("zone_id", *[F.round(k, 4).alias(k) for k in ("elevation_m", "slope_degree_mean", "slope_degree_max", "aspect_degrees")])
 
 
-# DEM laid over the assets' longitudes and latitudes, one pixel per 1/128 of the first area.
-LONLAT = R.Grid(-121.70, 39.76, 0.15 / 128, -0.06 / 64, 64, 128)
-
 
 @query("pixels assets", f"""WITH {NEIGHBOR}, pos AS (SELECT asset_id, CAST(least(127, greatest(0, floor((lon - -121.70::DOUBLE) / (0.15::DOUBLE / 128)))) AS INT) AS k,
-CAST(least(63, greatest(0, floor((lat - 39.76::DOUBLE) / (-0.06::DOUBLE / 64)))) AS INT) AS r FROM assets)
+CAST(least(n - 1, greatest(0, floor((lat - 39.76::DOUBLE) / (-0.06::DOUBLE / n)))) AS INT) AS r FROM assets CROSS JOIN (SELECT max(row_idx) + 1 AS n FROM pixels))
 SELECT asset_id, elevation_m, round(CASE WHEN elevation_m IS NOT NULL THEN slope_deg::DOUBLE END, 4) AS slope_deg, round(aspect_deg::DOUBLE, 4) AS aspect_deg FROM pos LEFT JOIN ter ON row_idx = r AND col_idx = k""")
 def terrain_at_assets(t):
-    """Nearest elevation, slope and aspect at every asset; outside the raster the edge pixel counts."""
-    a = R.terrain_at(t.assets.select("asset_id", "lon", "lat"), terrain(t), LONLAT, "lon", "lat")
+    """Nearest elevation, slope and aspect at every asset, the whole raster laid over the first area; outside it the edge pixel counts."""
+    rows = grid(t).rows
+    over = R.Grid(-121.70, 39.76, 0.15 / 128, -0.06 / rows, rows, 128)
+    a = R.terrain_at(t.assets.select("asset_id", "lon", "lat"), terrain(t), over, "lon", "lat")
     return a.select("asset_id", "elevation_m", F.round(c("slope_deg").cast("double"), 4).alias("slope_deg"), F.round(c("aspect_deg").cast("double"), 4).alias("aspect_deg"))
 
 
-COARSE = R.Grid(0.0, 0.0, 20.0, -20.0, 586, 64)
-
-
 def coarse(t):
     """Elevation at half resolution."""
     return t.pixels.where("row_idx % 2 = 0 AND col_idx % 2 = 0").select(
@@ -189,24 +190,24 @@ def coarse(t):
 @query("pixels", """SELECT p.row_idx, p.col_idx, q.elevation_m AS value FROM pixels p LEFT JOIN pixels q ON q.row_idx = p.row_idx // 2 * 2 AND q.col_idx = p.col_idx // 2 * 2""")
 def resampled_nearest(t):
     """A half-resolution raster brought to the full grid by the nearest pixel."""
-    return R.resample(coarse(t), t.pixels, [], COARSE, GRID)
+    return R.resample(coarse(t), t.pixels, [], grid(t, 2), grid(t))
 
 
 @query("pixels", """WITH t AS (SELECT row_idx, col_idx, (col_idx + 0.5) / 2 - 0.5 AS fx, (row_idx + 0.5) / 2 - 0.5 AS fy FROM pixels),
-k AS (SELECT row_idx, col_idx, least(585, greatest(0, floor(fy) + dr)) * 2 AS r, least(63, greatest(0, floor(fx) + dc)) * 2 AS cc,
+k AS (SELECT row_idx, col_idx, least((SELECT max(row_idx) // 2 FROM pixels), greatest(0, floor(fy) + dr)) * 2 AS r, least(63, greatest(0, floor(fx) + dc)) * 2 AS cc,
  (CASE WHEN dr = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN dc = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w
  FROM t CROSS JOIN (VALUES (0), (1)) a(dr) CROSS JOIN (VALUES (0), (1)) b(dc))
 SELECT k.row_idx, k.col_idx, round((sum(w * q.elevation_m) / sum(w) FILTER (q.elevation_m IS NOT NULL))::DOUBLE, 6) AS value FROM k LEFT JOIN pixels q ON q.row_idx = r AND q.col_idx = cc GROUP BY 1, 2""")
 def resampled_bilinear(t):
     """The same by weights of the four pixels around."""
-    r = R.resample(coarse(t), t.pixels, [], COARSE, GRID, "bilinear")
+    r = R.resample(coarse(t), t.pixels, [], grid(t, 2), grid(t), "bilinear")
     return r.select("row_idx", "col_idx", F.round("value", 6).alias("value"))
 
 
 @query("pixels", """SELECT row_idx, col_idx, elevation_m FROM pixels WHERE col_idx * 10 + 5 BETWEEN 203 AND 611 AND row_idx * 10 + 5 BETWEEN 100 AND 877""")
 def clipped_raster(t):
     """Pixels with their centre in a box."""
-    return R.clip(t.pixels, GRID, (203.0, -877.0, 611.0, -100.0)).select("row_idx", "col_idx", "elevation_m")
+    return R.clip(t.pixels, grid(t), (203.0, -877.0, 611.0, -100.0)).select("row_idx", "col_idx", "elevation_m")
 
 
 @query("pixels", """SELECT scene_id, band, count(*) AS pixels, sum(v) AS total FROM (SELECT 's-after' AS scene_id, 'B03' AS band, red_before::DOUBLE AS v FROM pixels UNION ALL

@@ -132,7 +132,7 @@ FROM {events}""",
     # Square zones in pixel space (x = col * 10, y = -row * 10).
     "zones": """
 SELECT concat('zone-', c_custkey) AS zone_id, CAST(c_custkey * 37 % 1280 AS DOUBLE) AS zx,
-       CAST(-(c_custkey * 53 % 1170) AS DOUBLE) AS zy, CAST(12.5 + c_custkey % 40 AS DOUBLE) AS half_m
+       CAST(-(c_custkey * 53 % (SELECT 10 * (max(row_idx) + 1) FROM {pixels})) AS DOUBLE) AS zy, CAST(12.5 + c_custkey % 40 AS DOUBLE) AS half_m
 FROM {customer}""",
     # 8x8 patches from the embeddings.
     "patches": """

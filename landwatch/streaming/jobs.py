@@ -6,17 +6,13 @@ rows and nothing is written twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from landwatch.operators.checks import latest_completed, since_date
 from landwatch.operators.lists import ALERT_LEVELS, alert_rows
-from landwatch.schema import RUN_STATUSES
+from landwatch.operators.state import run_state
 
 c = F.col
 
@@ -59,37 +55,23 @@ def alert_job(events: DataFrame, sink: str, checkpoint: str, minimum: dict[str,
     return _start(alert_rows(fresh, minimum or ALERT_LEVELS), sink, checkpoint)
 
 
-STATE = "status int, started_at timestamp, completed_at timestamp, before_scene_id string, last_at timestamp, last_seq bigint"
-
+def run_state_job(log: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Status-log stream (run_id, at, seq, status, before_scene_id) to the current state of each run.
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carry one run's state over its new log rows, in log order."""
-    start, done = RUN_STATUSES["FetchingImagery"], (RUN_STATUSES["Completed"], RUN_STATUSES["Failed"])
-    now = list(state.get) if state.exists else [RUN_STATUSES["Pending"], None, None, None, None, None]
-    rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-    moved = rows["status"].ne(rows["status"].shift(fill_value=now[0]))
-    begun = rows.loc[moved & rows["status"].eq(start), "at"]
-    ended = rows.loc[moved & rows["status"].isin(done), "at"]
-    named = rows.loc[rows["before_scene_id"].fillna("").ne(""), "before_scene_id"]
-    if now[1] is None and len(begun):
-        now[1] = begun.iloc[0].to_pydatetime()
-    if len(ended):
-        now[2] = ended.iloc[-1].to_pydatetime()
-    if len(named):
-        now[3] = named.iloc[-1]
-    last = rows.iloc[-1]
-    now[0], now[4], now[5] = int(last["status"]), last["at"].to_pydatetime(), int(last["seq"])
-    state.update(tuple(now))
-    yield pd.DataFrame({"run_id": [key[0]], "status": [now[0]], "started_at": [now[1]], "completed_at": [now[2]],
-                        "before_scene_id": [now[3]], "last_at": [now[4]], "last_seq": [now[5]]})
+    A batch adds its rows to the log under the sink and folds the whole log of the runs that it touches, with the
+    same aggregates as a table, so rows may come in any order and no run is gathered in one place.
+    """
+    rows = log.select("run_id", c("at").cast("timestamp").alias("at"), c("seq").cast("bigint"), "status", "before_scene_id")
 
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/log/batch={number}")
+        known = batch.sparkSession.read.parquet(f"{sink}/log").where(c("batch") <= number).drop("batch")
+        touched = known.join(batch.select("run_id").distinct(), "run_id", "left_semi")
+        state = run_state(touched, ["at", "seq"], F.date_trunc("day", c("at")))
+        state.write.mode("overwrite").parquet(f"{sink}/state/batch={number}")
 
-def run_state_job(log: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Status-log stream (run_id, at, seq, status, before_scene_id) to the current state of each run."""
-    rows = log.select("run_id", c("at").cast("timestamp").alias("at"), c("seq").cast("bigint"), "status", "before_scene_id")
-    state = rows.groupBy("run_id").applyInPandasWithState(
-        _advance, f"run_id string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-    return _start(state, sink, checkpoint, "update")
+    return (rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(save).start())
 
 
 def newest_state(written: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def test_streamed_states_equal_the_batch_fold(spark, tmp_path):
         spark.createDataFrame(rows[k * 30:(k + 1) * 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     jobs.run_state_job(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r.run_id: (r.status, r.started_at, r.completed_at, r.before_scene_id) for r in jobs.newest_state(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    got = {r.run_id: (r.status, r.started_at, r.completed_at, r.before_scene_id) for r in jobs.newest_state(spark.read.parquet(str(tmp_path / "out" / "state"))).collect()}
     batch = state.run_state(spark.createDataFrame(rows, schema), ["at", "seq"], F.date_trunc("day", c("at")))
     assert got == {r.run_id: (r.status, r.started_at, r.completed_at, r.before_scene_id) for r in batch.collect()} and len(got) == 4
 
