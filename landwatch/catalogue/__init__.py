@@ -4,7 +4,7 @@ from importlib import import_module
 
 from landwatch.catalogue.registry import _ORACLES, _QUERIES
 
-MODULES = ["scoring", "lists", "plans", "catalog", "rasters", "models", "ingest", "flows"]
+MODULES = ["scoring", "lists", "plans", "catalog", "rasters", "models", "ingest", "flows", "stored"]
 
 for _m in MODULES:
     import_module(f"landwatch.catalogue.{_m}")

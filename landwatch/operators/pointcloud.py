@@ -27,7 +27,7 @@ def within(points: DataFrame, box: tuple[float, float, float, float]) -> DataFra
 
 def _cells(points: DataFrame, resolution: float, radius: float) -> DataFrame:
     """Every (point, cell) whose centre is nearer than the radius, with the distance d."""
-    k = math.ceil(radius / resolution)
+    k = math.ceil(radius / resolution + 0.5) - 1  # cells whose centre can be nearer than the radius
     steps = F.sequence(F.lit(-k), F.lit(k))
     p = points.withColumns({"_c": F.floor(c("x") / resolution), "_r": F.floor(c("y") / resolution)})
     p = p.withColumn("_dc", F.explode(steps)).withColumn("_dr", F.explode(steps))
@@ -61,9 +61,16 @@ def height_grid(dtm: DataFrame, dsm: DataFrame, keys: list[str]) -> DataFrame:
     return dtm.join(dsm, on, "left").withColumn("chm", F.when(h < 0, F.lit(0.0)).otherwise(h))
 
 
-def products(points: DataFrame, keys: list[str], resolution: float = 1.0) -> DataFrame:
-    """Terrain, surface and height per cell."""
-    return height_grid(terrain_grid(points, keys, resolution), surface_grid(points, keys, resolution), keys)
+def products(points: DataFrame, keys: list[str], resolution: float = 1.0, power: float = 1.0) -> DataFrame:
+    """Terrain, surface and height per cell with terrain, from one pass over the points: one aggregate with conditions."""
+    ground, first = c("classification") == GROUND, c("return_number") == 1
+    near = _cells(points.where(ground | first), resolution, resolution * math.sqrt(2))
+    w = F.when(ground & (c("d") > 0), 1.0 / F.pow(c("d"), F.lit(float(power))))
+    exact = F.min(F.when(ground & (c("d") == 0), c("z")))
+    both = near.groupBy(*keys, "cell_row", "cell_col").agg(
+        F.coalesce(exact, F.sum(w * c("z")) / F.sum(w)).alias("dtm"), F.max(F.when(first, c("z"))).alias("dsm"))
+    h = c("dsm") - c("dtm")
+    return both.where(c("dtm").isNotNull()).withColumn("chm", F.when(h < 0, F.lit(0.0)).otherwise(h))
 
 
 def metadata(points: DataFrame, keys: list[str], area_m2: Column, epsg: Column, resolution: float) -> DataFrame:
