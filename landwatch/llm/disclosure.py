@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landwatch.llm import filters
 from landwatch.llm.batches import flat, per_batch, slices, strings
 from landwatch.llm.hashing import LOWER, U, prefix_sums, span_hashes, word_hashes
 from landwatch.session import cut_lineage
@@ -37,8 +38,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 TERM = re.compile(r"[^\x20\x09-\x0D]+")
 #: Parts of a hot entity, term or text.
 SALTS = 16
-#: Bits of the filter that thins words before they are counted; its size is fixed, a full one only thins less.
-FILTER = 1 << 22
 c = F.col
 
 
@@ -162,21 +161,6 @@ def entities(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach:
     return docs.select(c(ident), F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, schema)
 
 
-def spots(values: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size: a set bit for each hash that occurs."""
-    bit = values.select(F.shiftrightunsigned(column, 64 - 22).alias("_k")).distinct()
-    words = bit.groupBy(F.shiftright("_k", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_k % 64 as int)))").alias("_bits"))
-    bits = np.zeros(FILTER // 64, np.int64)
-    for row in words.toLocalIterator():  # at most FILTER / 64 rows
-        bits[row._w] = row._bits
-    return bits
-
-
-def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    spot = hashes.view(U) >> U(64 - 22)
-    return (bits.view(U)[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1) == 1
-
-
 def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """``term, texts``: in how many distinct texts each of ``terms`` stands; all texts are read.
 
@@ -184,7 +168,7 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
     texts that may stand again it gives the pairs, counted once each. Terms that only the filter lets through may be among the rows.
     """
     copied = found.groupBy("text_hash").count().where("count > 1")
-    shared = docs.sparkSession.sparkContext.broadcast((spots(terms, "term"), spots(copied, "text_hash")))
+    shared = docs.sparkSession.sparkContext.broadcast((filters.build(terms, "term"), filters.build(copied, "text_hash")))
 
     def run(batches):
         mask, copies = shared.value
@@ -193,11 +177,11 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
             for part in slices(batch, "_text"):
                 raw, offsets = flat(part.column("_text"))
                 word, counts = word_hashes(LOWER[raw], offsets)
-                hit = held(mask, word)
+                hit = filters.held(mask, word)
                 whose = part.column("text_hash").to_numpy()
                 owner = np.repeat(np.arange(len(counts)), counts)[hit]
                 both = np.unique(np.stack([word[hit].view(np.int64), owner]), axis=1)
-                again = held(copies, whose)[both[1]]
+                again = filters.held(copies, whose)[both[1]]
                 for term, n in zip(*np.unique(both[0][~again], return_counts=True)):
                     sums[int(term)] = sums.get(int(term), 0) + int(n)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0][again]), pa.array(whose[both[1][again]]), pa.array(np.ones(int(again.sum()), np.int64))], names=["term", "text_hash", "texts"])

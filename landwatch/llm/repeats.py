@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from landwatch.llm.batches import STEP, flat, slices
+from landwatch.llm.batches import STEP, flat, packed, slices, unpacked
 from landwatch.llm.hashing import U, prefix_sums, ragged, span_hashes
 from landwatch.session import cut_lineage
 
@@ -230,34 +229,6 @@ def _task(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         yield from work(pa.Table.from_batches(held))
 
 
-def packed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with ``_text`` as compressed bytes and its size: texts are shuffled in this form."""
-    schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("_packed", T.BinaryType()), T.StructField("_size", T.LongType())])
-
-    def run(batches):
-        codec = pa.Codec("zstd", compression_level=3)
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                raw, offsets = flat(part.column("_text"))
-                made = [codec.compress(raw[a:e].tobytes(), asbytes=True) for a, e in zip(offsets, offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(made, pa.binary()), pa.array(np.diff(offsets), pa.int64())], names=[*keep, "_packed", "_size"])
-
-    return df.select(*keep, "_text").mapInArrow(run, schema)
-
-
-def unpacked(batch: pa.RecordBatch, step: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``step`` bytes of text, with ``_text`` as bytes."""
-    codec = pa.Codec("zstd")
-    ends = np.cumsum(batch.column("_size").to_numpy())
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
-        part = batch.slice(at, to - at)
-        at = to
-        text = [codec.decompress(p, n, asbytes=True) for p, n in zip(part.column("_packed").to_pylist(), part.column("_size").to_pylist())]
-        yield part.append_column("_text", pa.array(text, pa.binary()))
-
-
 def marked(docs: DataFrame, text: str, length: int) -> DataFrame:
     """``h1, h2, times, spans``: for every distinct text with repeated windows or copies, how often it stands and its runs of repeated window starts."""
     body = docs.select(F.coalesce(c(text), F.lit("")).alias("_text")).where(F.octet_length("_text") >= length).select(

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landwatch.llm.batches import flat, slices
+from landwatch.llm import filters
+from landwatch.llm.batches import STEP, flat, packed, slices, unpacked
 from landwatch.llm.hashing import LOWER, U, mix, ragged, word_hashes
 from landwatch.session import cut_lineage
 
@@ -36,6 +37,8 @@ from landwatch.session import cut_lineage
 SKETCH, SAMPLES, SHARED = 1 << 18, 16, 5
 #: Members of a pivot that one task compares, pairs enumerated at once, index rows of one step.
 CROWD, PAIRS, ROWS = 2000, 1 << 20, 1 << 17
+#: Shingles of sets that a checking task keeps.
+HELD = 4_000_000
 c = F.col
 
 
@@ -274,12 +277,12 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     ways = member.unionByName(centre).unionByName(alone).groupBy("node").agg(F.collect_list(F.struct("to", "salt", "role")).alias("ways"))
     route = nodes.select("node", "t1", "t2").join(ways, "node")
     body = keyed(docs.select(F.coalesce(c(text), F.lit("")).alias("_text")))
-    texts = body.groupBy("t1", "t2").agg(F.first("_text").alias("_text"))
+    texts = packed(body, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("_packed").alias("_packed"), F.first("_size").alias("_size"))
 
     def sets(batches):
         count = shared.value
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in unpacked(batch, STEP):
                 token, size = shingle_sets(*flat(part.column("_text")), words)
                 ends = np.cumsum(size)
                 solo, solo_nodes, kept = [], [], []
@@ -302,7 +305,7 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
                          pa.array(to, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(raw, pa.binary())],
                         names=["key", "blk", "node", "label", "pos", "size", "weight", "base", "to", "salt", "role", "tokens"])
 
-    made = cut_lineage(texts.join(route, ["t1", "t2"]).select("node", "ways", "_text").mapInArrow(sets, INDEX + ", to long, salt int, role int, tokens binary"))
+    made = cut_lineage(texts.join(route, ["t1", "t2"]).select("node", "ways", "_packed", "_size").mapInArrow(sets, INDEX + ", to long, salt int, role int, tokens binary"))
     index = [k.split()[0] for k in INDEX.split(", ")]
 
     def deltas(batches):
@@ -346,26 +349,54 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     parent = derived.where("x is not null").select(c("y").alias("node"), c("x").alias("up"))  # up < node
     entries = made.where("key is not null").select(*index).unionByName(derived.where("key is not null").select(*index))
     pairs = cut_lineage(entries.repartition(width, "key").sortWithinPartitions("key", "blk").mapInArrow(lambda x: _lists(x, a, b), "x long, y long").distinct())
-    links = cut_lineage(verified(pairs, nodes, texts, words, a, b))
+    links = cut_lineage(verified(pairs, nodes, body, words, a, b))
     return named(rows, nodes, parent, links, ident)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, a: int, b: int) -> DataFrame:
-    """The candidate pairs that link, by whole sets."""
-    def tokens(batches):
+def verified(pairs: DataFrame, nodes: DataFrame, body: DataFrame, words: int, a: int, b: int) -> DataFrame:
+    """The candidate pairs that link, by whole sets; only texts of candidates are shuffled, compressed."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    involved = cut_lineage(nodes.select("node", "t1", "t2").join(asked, "node", "left_semi"))
+    mask = body.sparkSession.sparkContext.broadcast(filters.build(involved, "t1"))
+
+    def thin(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
-                token, size = shingle_sets(*flat(part.column("_text")), words)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token.view(np.int64)))], names=["node", "tokens"])
+            yield batch.filter(pa.array(filters.held(mask.value, batch.column("t1").to_numpy())))
+
+    some = packed(body.mapInArrow(thin, body.schema), ["t1", "t2"])
+    texts = some.groupBy("t1", "t2").agg(F.first("_packed").alias("_packed"), F.first("_size").alias("_size"))
+    held = cut_lineage(texts.join(involved, ["t1", "t2"]).select("node", F.struct("_packed", "_size").alias("_t")))
+
+    def check(batches):
+        codec = pa.Codec("zstd")
+        kept: dict[int, np.ndarray] = {}
+        weight = 0
+
+        def tokens(node, packed_, size, i):
+            nonlocal weight
+            if node not in kept:
+                if weight > HELD:
+                    kept.clear()
+                    weight = 0
+                raw = np.frombuffer(codec.decompress(packed_[i].as_buffer(), int(size[i]), asbytes=True), np.uint8)
+                kept[node] = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+                weight += len(kept[node])
+            return kept[node]
 
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    involved = nodes.select("node", "t1", "t2").join(asked, "node", "left_semi")
-    sets = cut_lineage(texts.join(involved, ["t1", "t2"]).select("node", "_text").mapInArrow(tokens, "node long, tokens array<long>"))
-    one = pairs.join(sets.select(c("node").alias("x"), c("tokens").alias("_x")), "x")
-    both = one.join(sets.select(c("node").alias("y"), c("tokens").alias("_y")), "y")
-    inter = F.size(F.array_intersect("_x", "_y"))
-    return both.where((a + b) * inter >= a * (F.size("_x") + F.size("_y"))).select("x", "y")
+        for batch in batches:
+            linked = []
+            sides = [(batch.column(k).field("_packed"), batch.column(k).field("_size").to_numpy()) for k in ("_x", "_y")]
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                own, other = tokens(x, *sides[0], i), tokens(y, *sides[1], i)
+                both = np.sort(np.concatenate([own, other]))
+                if (a + b) * int((both[1:] == both[:-1]).sum()) >= a * (len(own) + len(other)):
+                    linked.append((x, y))
+            x, y = zip(*linked) if linked else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    one = pairs.join(held.select(c("node").alias("x"), c("_t").alias("_x")), "x")
+    both = one.join(held.select(c("node").alias("y"), c("_t").alias("_y")), "y")
+    return both.select("x", "y", "_x", "_y").mapInArrow(check, "x long, y long")
 
 
 def named(rows: DataFrame, nodes: DataFrame, parent: DataFrame, links: DataFrame, ident: str) -> DataFrame:
