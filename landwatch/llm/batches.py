@@ -69,14 +69,19 @@ def per_batch(df: DataFrame, text: str, keep: Sequence[str], fields: Sequence[T.
     return df.select(*(F.col(f"`{k}`") for k in need)).mapInArrow(run, schema)
 
 
-def packed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with ``_text`` as compressed bytes and its size: texts are shuffled in this form."""
+def packed(df: DataFrame, keep: list[str], only: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """Columns ``keep`` with ``_text`` as compressed bytes and its size: texts are shuffled in this form.
+
+    ``only`` says which rows of a batch stay.
+    """
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("_packed", T.BinaryType()), T.StructField("_size", T.LongType())])
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            if only is not None:
+                batch = batch.filter(pa.array(only(batch)))
+            for part in slices(batch, "_text", STEP // 2):
                 raw, offsets = flat(part.column("_text"))
                 made = [codec.compress(raw[a:e].tobytes(), asbytes=True) for a, e in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(made, pa.binary()), pa.array(np.diff(offsets), pa.int64())], names=[*keep, "_packed", "_size"])

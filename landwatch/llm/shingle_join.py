@@ -36,9 +36,9 @@ from landwatch.session import cut_lineage
 #: Counters of the sketch, least shingles sampled of a set, samples that a pivot must share.
 SKETCH, SAMPLES, SHARED = 1 << 18, 16, 5
 #: Members of a pivot that one task compares, pairs enumerated at once, index rows of one step.
-CROWD, PAIRS, ROWS = 2000, 1 << 20, 1 << 17
+CROWD, PAIRS, ROWS = 2000, 1 << 19, 1 << 16
 #: Shingles of sets that a checking task keeps.
-HELD = 4_000_000
+HELD = 1_000_000
 c = F.col
 
 
@@ -76,7 +76,7 @@ def profiles(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, ident_type = np.zeros(SKETCH, np.int64), None
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", STEP // 2):
                 token, size = shingle_sets(*flat(part.column("_text")), words)
                 count += np.bincount((token & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -282,7 +282,7 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     def sets(batches):
         count = shared.value
         for batch in batches:
-            for part in unpacked(batch, STEP):
+            for part in unpacked(batch, STEP // 2):
                 token, size = shingle_sets(*flat(part.column("_text")), words)
                 ends = np.cumsum(size)
                 solo, solo_nodes, kept = [], [], []
@@ -359,11 +359,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, body: DataFrame, words: int, a:
     involved = cut_lineage(nodes.select("node", "t1", "t2").join(asked, "node", "left_semi"))
     mask = body.sparkSession.sparkContext.broadcast(filters.build(involved, "t1"))
 
-    def thin(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(filters.held(mask.value, batch.column("t1").to_numpy())))
-
-    some = packed(body.mapInArrow(thin, body.schema), ["t1", "t2"])
+    some = packed(body, ["t1", "t2"], lambda batch: filters.held(mask.value, batch.column("t1").to_numpy()))
     texts = some.groupBy("t1", "t2").agg(F.first("_packed").alias("_packed"), F.first("_size").alias("_size"))
     held = cut_lineage(texts.join(involved, ["t1", "t2"]).select("node", F.struct("_packed", "_size").alias("_t")))
 
