@@ -27,6 +27,7 @@ def _upslope(factors: Column) -> Column:
 
 def summary(factors: Column, asset_name: Column) -> Column:
     """One or two sentences on what happened, how far from what."""
+    # The phrases.
     index = _first(factors, lambda f: f["reason_code"].startswith("NDVI_DROP_"))["reason_code"]
     what = F.when(index.isNull(), F.lit("Change")).otherwise(F.coalesce(_table(SEVERITY, index), F.lit("Vegetation change")))
     metres = F.regexp_extract(_first(factors, lambda f: f["name"] == "Distance")["details"], r"Distance:\s*([\d,.]+)m", 1)
@@ -37,6 +38,7 @@ def summary(factors: Column, asset_name: Column) -> Column:
 
 def suggested_action(factors: Column, level: Column, asset_type_name: Column) -> Column:
     """What to do at a risk level."""
+    # The sentences.
     base = (F.when(level == "Critical", F.concat(F.lit("Immediate site inspection recommended. Consider protective measures for "), asset_type_name, F.lit(".")))
             .when(level == "High", F.concat(F.lit("Schedule site inspection within 48 hours. Monitor for further changes near "), asset_type_name, F.lit(".")))
             .when(level == "Medium", F.concat(F.lit("Flag for review during next scheduled inspection of "), asset_type_name, F.lit(".")))

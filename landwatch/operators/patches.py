@@ -114,9 +114,9 @@ def apply_model(patches: DataFrame, key: str, load: Callable[[], Callable[[np.nd
     """Add logits (flattened per patch) from a model that maps (n, channels, size, size) to scores.
 
     ``load`` runs once per task and returns the predictor. A batch that fails is retried patch by
-    patch, and a patch that fails alone gets null.
+    patch, and a patch that fails alone gets null and the error's text in ``model_error``.
     """
-    schema = T.StructType([patches.schema[key], T.StructField("logits", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([patches.schema[key], T.StructField("logits", T.ArrayType(T.FloatType())), T.StructField("model_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
@@ -128,17 +128,17 @@ def apply_model(patches: DataFrame, key: str, load: Callable[[], Callable[[np.nd
 
         def alone(p):
             try:
-                return scores([p])[0]
-            except Exception:
-                return None
+                return scores([p])[0], None
+            except Exception as failed:
+                return None, f"{type(failed).__name__}: {failed}"
 
         for batch in batches:
             rows = list(batch["channels"])
             try:
-                result = scores(rows) if rows else []
+                result, errors = scores(rows) if rows else [], [None] * len(rows)
             except Exception:
-                result = [alone(p) for p in rows]
-            yield pd.DataFrame({key: batch[key], "logits": result})
+                result, errors = zip(*map(alone, rows))
+            yield pd.DataFrame({key: batch[key], "logits": list(result), "model_error": list(errors)})
 
     return patches.select(key, "channels").mapInPandas(run, schema)
 
@@ -161,7 +161,7 @@ def classify_landslides(polygons: DataFrame, patches: DataFrame, key: str, load,
 
 def refine_types(changes: DataFrame, verdicts: DataFrame, key: str, version: str) -> DataFrame:
     """Changes found to be landslides get that type, the mean probability and the model version."""
-    v = verdicts.where("is_landslide").select(key, c("landslide_probability").alias("_p"))
+    v = verdicts.where("is_landslide").groupBy(key).agg(F.max("landslide_probability").alias("_p"))  # one row a change
     hit = c("_p").isNotNull()
     return changes.join(v, key, "left").withColumns({
         "change_type": F.when(hit, F.lit("LandslideDebris")).otherwise(c("change_type")),

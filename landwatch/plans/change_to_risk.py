@@ -37,13 +37,19 @@ def pixel_of(x: Column, y: Column) -> dict[str, Column]:
     return {"col_idx": edge((x - c("x0")) / c("dx"), "cols"), "row_idx": edge((y - c("y0")) / c("dy"), "rows")}
 
 
-def asset_elevation(assets: DataFrame, dem: DataFrame, rasters: DataFrame, keys: list[str]) -> DataFrame:
-    """Elevation of the nearest pixel at each asset's centroid, per raster of its area: keys, asset_id, asset_elevation_m."""
+def asset_elevation(assets: DataFrame, dem: DataFrame, rasters: DataFrame, keys: list[str], matched: DataFrame | None = None) -> DataFrame:
+    """Elevation of the nearest pixel at each asset's centroid: keys, asset_id, asset_elevation_m.
+
+    For the (keys, asset_id) rows of ``matched``, or for every raster of each asset's area.
+    """
     at = assets.where(c("geometry").isNotNull()).withColumn("_at", G.centroid(c("geometry")))
     on = [k for k in keys if k in assets.columns]
     if not on:
         raise ValueError("assets need a raster key such as aoi_id")
-    at = at.join(rasters, on)
+    if matched is None:
+        at = at.join(rasters, on)
+    else:
+        at = matched.join(at, [*on, "asset_id"]).join(rasters, keys)
     spot = F.array(F.array(F.array(c("_at"))))
     at = at.withColumn("_plane", F.flatten(F.flatten(K.project_parts(spot, "zone", "south")))[0])
     at = at.withColumns(pixel_of(c("_plane.x"), c("_plane.y")))
@@ -106,7 +112,8 @@ def score(changes: DataFrame, assets: DataFrame, dem: DataFrame | None, rasters:
     else:
         heights = dem.select(*keys, c("row_idx").alias("_r"), c("col_idx").alias("_c"), c("elevation_m").alias("change_elevation_m"))
         at = pairs.withColumns({"_r": F.floor("c_row").cast("int"), "_c": F.floor("c_col").cast("int")})
-        pairs = at.join(heights, [*keys, "_r", "_c"], "left").join(asset_elevation(assets, dem, rasters, keys), [*keys, "asset_id"], "left")
+        pairs = at.join(heights, [*keys, "_r", "_c"], "left").join(asset_elevation(
+            assets, dem, rasters, keys, pairs.select(*keys, "asset_id").distinct()), [*keys, "asset_id"], "left")
         pairs = proximity.directional(pairs)
     scored = scoring.score_pairs(scoring.with_criticality_name(pairs), overrides)
     return scored.withColumn("risk_event_id", F.left(F.sha2(F.concat_ws("|", "change_id", "asset_id"), 256), F.lit(32)))
@@ -124,7 +131,7 @@ def change_to_risk(bands: DataFrame, rasters: DataFrame, assets: DataFrame, dem:
     found = detect(bands, dem, rasters, keys, cell_m, config)
     changes = found["changes"]
     if land_cover is not None:
-        cover = land_cover(changes).select("change_id", "land_cover_class")
+        cover = land_cover(changes).groupBy("change_id").agg(F.min("land_cover_class").alias("land_cover_class"))  # one row a change, however many pieces
         changes = changes.drop("land_cover_class").join(cover, "change_id", "left")
         refined = F.when(c("land_cover_class").isNotNull(), change_type(c("ndvi_drop_mean"), c("land_cover_class")))
         changes = changes.withColumn("change_type", F.coalesce(refined, "change_type"))

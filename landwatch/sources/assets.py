@@ -52,7 +52,7 @@ def feature_name(source: Column, props: Column, index: Column) -> Column:
     street, house = filled("addr:street"), filled("addr:housenumber")
     operator = F.nullif(F.coalesce(props["operator"], props["OPERATOR"]), F.lit(""))
     piping = F.nullif(F.coalesce(props["typepipe"], props["TYPEPIPE"]), F.lit(""))
-    by_source = (
+    by_source = (  # fixed values: source names, tag names and display names
         F.when(source == "osm_buildings", F.coalesce(F.trim(F.concat(house, F.lit(" "), street)), street, number("Building")))
         .when(source == "osm_roads", F.coalesce(props["name"], number("Road")))
         .when(source == "osm_power", F.when(power.isin("line", "minor_line"), number("Power Line")).when(power == "tower", number("Power Tower"))
