@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landwatch.llm import bpe, disclosure, language, mixture, shingle_join
+from landwatch.llm.batches import small_batches
 from landwatch.session import shared_dir
 
 c = F.col
@@ -21,12 +22,14 @@ c = F.col
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; a text that is null or has no letters goes."""
+    small_batches(spark)
     found = language.identify(docs, F.lit(True), keep=docs.columns)
     return found.where(c("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group linked by five-word shingles at a likeness of 0.8 or more."""
+    small_batches(spark)
     groups = shingle_join.components(docs, words=5, threshold=(4, 5))
     stay = groups.where(c("doc_id").eqNullSafe(c("component_id"))).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(docs.columns)
@@ -34,11 +37,13 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data and the terms that reveal it replaced."""
+    small_batches(spark)
     return disclosure.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; documents that it leaves out go."""
+    small_batches(spark)
     keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
     plan = mixture.mix(keyed, ident="_row").where("taken > 0").groupBy("_row").agg(F.sum(c("taken") / c("size")).cast("int").alias("_copies"))
     rows = keyed.join(plan, "_row").dropDuplicates([*docs.columns, "_row"])
@@ -47,6 +52,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digest of what they decode to."""
+    small_batches(spark)
     vocabulary, keep = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ("doc_id", "lang", "source", "n_chars")
     ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=keep)
     return bpe.decode(ids, vocabulary, keep=keep).select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

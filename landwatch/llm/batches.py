@@ -6,12 +6,22 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one step of a kernel works on; a longer single text is a step of its own.
-STEP = 2 << 20
+STEP = 1 << 20
+#: Rows of an Arrow batch: a batch of documents stands in memory several times, in both processes.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batch size to ``BATCH`` rows unless it is smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+    return spark
 
 
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP) -> Iterator[pa.RecordBatch]:

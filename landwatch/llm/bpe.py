@@ -28,7 +28,7 @@ from landwatch.llm.hashing import U, mix, ragged
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 NONE = np.int32(2**31 - 1)
 #: Encoded pieces that a task keeps.
-TABLE = 400_000
+TABLE = 200_000
 ROWS = 1 << 14
 
 

@@ -30,7 +30,7 @@ SPACE[[32, *range(9, 14)]] = True
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSE
     if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), 1 << 16)
+        size = max(n + n // 8, 1 << 16)
         step = np.full(size, _BASE, U)
         back = np.full(size, pow(_BASE, -1, 1 << 64), U)
         step[0] = back[0] = 1

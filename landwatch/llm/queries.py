@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, repeats, shingle_join, transducer
+from landwatch.llm.batches import small_batches
 
 QUERIES, ORACLES = {}, {}
 c = F.col
@@ -18,7 +19,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 @query
