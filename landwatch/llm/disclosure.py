@@ -1,12 +1,12 @@
 """Personal data and the terms that reveal it: information-theoretic sanitisation.
 
-Base entities (email, ip, card, phone) are found by pattern and check. Words within ``reach`` words of
-an entity are its context. Over all documents, the disclosure of an entity c by a term t is
-PMI(c; t) / IC(c): how much of the entity's information the term gives away, 1 if the term is only
-seen with it. Joint counts are over distinct contexts, so that copies of a passage count once, and
-need ``support`` of them; the counts of a term are over distinct texts. A term above ``generalise``
-in the context of that entity is replaced by its class (a number, a word, a mixture), one above
-``remove`` is dropped. Base entities are always replaced by their kind.
+Base entities (email, ip, card, phone) are found by pattern and check. Words are what stands between
+spaces once base entities are cut out. Over all distinct texts, the disclosure of an entity c by a term t
+is PMI(c; t) / IC(c): how much of the entity's information the term gives away, 1 if the term is only
+seen with it. All words of a text count as seen with all entities of that text, so copies of a text count
+once. A pair needs ``support`` occurrences of the entity in texts with the term. A term above
+``generalise`` is replaced by its class (a number, a word, a mixture) wherever it stands in a text that
+holds the entity, one above ``remove`` is dropped. Base entities are always replaced by their kind.
 
 Null texts count as empty and give no spans. Repeated rows give repeated results with the same spans.
 Spans are code points, end exclusive; of spans that overlap the replacement keeps the first.
@@ -14,8 +14,8 @@ Spans are code points, end exclusive; of spans that overlap the replacement keep
 
 from __future__ import annotations
 
-import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.llm import filters
-from landwatch.llm.batches import flat, per_batch, slices, strings
+from landwatch.llm.batches import flat, slices, strings
 from landwatch.llm.hashing import LOWER, U, prefix_sums, span_hashes, word_hashes
 from landwatch.session import cut_lineage
 
@@ -105,62 +105,80 @@ def _hashes(values: list[str]) -> np.ndarray:
     return span_hashes(prefix_sums(LOWER[raw]), offsets[:-1], offsets[1:]).view(np.int64)
 
 
-def contexts(text: str, spans: list[tuple[int, str, int]], reach: int) -> list[tuple[str, str, str, int, int]]:
-    """(entity, context, term, start, end) of the words around every base entity."""
-    out = []
-    for start, kind, end in spans:
-        left, at = [], start
-        for _ in range(reach):
-            to = at
-            while to > 0 and text[to - 1] in " \t\n\v\f\r":
-                to -= 1
-            frm = to
-            while frm > 0 and text[frm - 1] not in " \t\n\v\f\r":
-                frm -= 1
-            if frm == to:
-                break
-            left.append((frm, to))
-            at = frm
-        right = []
-        for m in TERM.finditer(text, end):
-            right.append(m.span())
-            if len(right) == reach:
-                break
-        low = bisect.bisect_left(spans, (left[-1][0] if left else start,))
-        close = spans[max(0, low - 4):bisect.bisect_left(spans, (right[-1][1] if right else end,))]
-        near = [(s, e) for s, e in left[::-1] + right if not any(s < y and x < e for x, _, y in close) and any(map(str.isalnum, text[s:e]))]
-        value = text[start:end] if kind in ("email", "ip") else re.sub(r"[\x20().-]", "", text[start:end])
-        window = " ".join(text[s:e] for s, e in near)
-        out += [(kind + value, window, text[s:e], s, e) for s, e in near]
+def value_of(text: str, span: tuple[int, str, int]) -> str:
+    """What names a base entity: its kind and text, numbers without signs between."""
+    start, kind, end = span
+    return kind + (text[start:end] if kind in ("email", "ip") else re.sub(r"[\x20().-]", "", text[start:end]))
+
+
+def terms_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all words of a text outside its base entities."""
+    out, at = [], 0
+    for start, _, end in [*base_spans(text), (len(text), "", len(text))]:
+        out += [m.span() for m in TERM.finditer(text, at, max(at, start)) if any(map(str.isalnum, m.group()))]
+        at = max(at, end)
     return out
 
 
-def entities(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach: int = 5) -> DataFrame:
-    """``ident, text_hash, base, near``: base spans and context words of every whole text."""
+def entities(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``ident, text_hash, base, held``: base spans of every whole text, and how often each entity stands in it."""
     schema = (f"{ident} {docs.schema[ident].dataType.simpleString()}, text_hash long, base array<struct<start:int,kind:string,end:int>>, "
-              "near array<struct<entity:long,window:long,term:long,start:int,end:int>>")
+              "held array<struct<entity:long,times:long>>")
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    held_type = pa.list_(pa.struct([("entity", pa.int64()), ("times", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
-                base, near, ends = [], [], [0]
+                base, who, ends = [], [], [0]
                 for t in strings(part.column("_text")):
                     spans = base_spans(t)
                     base.append([dict(start=s, kind=k, end=e) for s, k, e in spans])
-                    near += contexts(t, spans, reach)
-                    ends.append(len(near))
-                who, window, term, start, end = zip(*near) if near else ((),) * 5
-                flat_near = pa.StructArray.from_arrays(
-                    [pa.array(_hashes(x)) for x in (who, window, term)] + [pa.array(x, pa.int32()) for x in (start, end)], fields=list(near_type.value_type))
+                    who += Counter(value_of(t, x) for x in spans).items()
+                    ends.append(len(who))
+                name, times = zip(*who) if who else ((),) * 2
+                flat_held = pa.StructArray.from_arrays([pa.array(_hashes(name)), pa.array(times, pa.int64())], fields=list(held_type.value_type))
                 yield pa.RecordBatch.from_arrays([part.column(ident), part.column("text_hash"), pa.array(base, base_type),
-                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_near).cast(near_type)],
-                                                 names=[ident, "text_hash", "base", "near"])
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_held).cast(held_type)],
+                                                 names=[ident, "text_hash", "base", "held"])
 
     return docs.select(c(ident), F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, schema)
 
 
+def standing(docs: DataFrame, texts: DataFrame, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """``text_hash, term, start, end`` of the words of ``texts``, each distinct text once.
+
+    All words without their places, or the places of ``terms``. Filters thin the scan; texts and terms that only they let
+    through may be among the rows.
+    """
+    placed = terms is not None
+    shared = docs.sparkSession.sparkContext.broadcast((filters.build(texts, "text_hash"), filters.build(terms, "term") if placed else None))
+
+    def run(batches):
+        asked, mask = shared.value
+        for batch in batches:
+            batch = batch.filter(pa.array(filters.held(asked, batch.column("text_hash").to_numpy())))
+            for part in slices(batch, "_text"):
+                done = set()
+                for whose, t in zip(part.column("text_hash").to_pylist(), strings(part.column("_text"))):
+                    if whose in done:
+                        continue
+                    done.add(whose)
+                    spans = terms_of(t)
+                    term = _hashes([t[s:e] for s, e in spans])
+                    if placed:
+                        hit = filters.held(mask, term)
+                        start, end = np.array(spans, np.int32).reshape(-1, 2)[hit].T
+                        term = term[hit]
+                        start, end = pa.array(start), pa.array(end)
+                    else:
+                        term = np.unique(term)
+                        start = end = pa.nulls(len(term), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), whose, np.int64)), pa.array(term), start, end], names=["text_hash", "term", "start", "end"])
+
+    return docs.select(F.xxhash64(text).alias("text_hash"), c(text).alias("_text")).mapInArrow(run, "text_hash long, term long, start int, end int").distinct()
+
+
 def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """``term, texts``: in how many distinct texts each of ``terms`` stands; all texts are read.
 
@@ -193,13 +211,13 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
     return once.groupBy("term").agg(F.sum("texts").alias("texts"))
 
 
-def spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach: int = 5, support: int = 3, generalise: float = 0.75,
+def spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.75,
           remove: float = 0.9) -> DataFrame:
     """``ident, text_hash, base, terms``: base spans and the spans of revealing terms, with kind ``generalised`` or ``removed``, of every row."""
-    found = cut_lineage(entities(docs, ident, text, reach))
+    found = cut_lineage(entities(docs, ident, text))
     terms = revealing(docs, found, text, support, generalise, remove)
     none = F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)")
-    return salted(found.drop("near"), terms, ["text_hash"], ident).withColumn("terms", F.coalesce("terms", none))
+    return salted(found.drop("held"), terms, ["text_hash"], ident).withColumn("terms", F.coalesce("terms", none))
 
 
 def salted(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
@@ -210,26 +228,33 @@ def salted(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame
 
 def revealing(docs: DataFrame, found: DataFrame, text: str, support: int, generalise: float, remove: float) -> DataFrame:
     """``text_hash, terms``: the spans of revealing terms of every distinct text that has some."""
-    near = found.where(F.size("near") > 0).dropDuplicates(["text_hash"]).select("text_hash", F.explode("near").alias("n")).select("text_hash", "n.*")
-    near = cut_lineage(near)
-    seen = near.select("entity", "window", "term").distinct()
-    own = near.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("windows"))
-    spread = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    total = found.select("text_hash").distinct().agg(F.count("*").cast("double").alias("_n"))  # one row
-    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(c("both") >= support)
-    joint = joint.join(own, "entity").join(spread, "term").crossJoin(F.broadcast(total))
-
-    def share(texts):
-        pmi = F.log2(c("_n") * c("both") / (c("windows") * F.greatest(texts, "both")))
-        return pmi / F.log2(F.greatest(c("_n"), c("windows") + 1) / c("windows"))
-
-    # a term stands in as many texts as have it in a context at least: those that fall short even so need no count
-    joint = cut_lineage(joint.where(share(c("least")) >= generalise))
+    n = float(found.select("text_hash").distinct().count())
+    holds = cut_lineage(found.where(F.size("held") > 0).dropDuplicates(["text_hash"]).select("text_hash", F.explode("held").alias("_e")).select("text_hash", "_e.*"))
+    # entities that stand equally often in the same texts have the same shares: one speaks for all
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "text_hash", "times")).alias(f"_m{k}") for k in (1, 2)]
+    own = holds.groupBy("entity").agg(F.count("*").alias("held_by"), F.sum("times").alias("_times"), *mark).where(c("_times") >= support)
+    own = own.groupBy("held_by", "_times", "_m1", "_m2").agg(F.min("entity").alias("entity")).select("entity", "held_by")
+    holds = cut_lineage(holds.join(own, "entity"))
+    words = cut_lineage(standing(docs, holds.select("text_hash").distinct(), text).select("text_hash", "term"))
+    least = words.groupBy("term").agg(F.count("*").alias("least"))
+
+    def share(texts, both=c("both")):
+        pmi = F.log2(F.lit(n) * both / (c("held_by") * F.greatest(texts, both)))
+        return pmi / F.log2(F.greatest(F.lit(n), c("held_by") + 1) / c("held_by"))
+
+    # a term stands in as many texts as have it beside an entity at least: pairs that fall short even so are not made
+    most = F.least("held_by", "least")
+    pairs = words.join(least, "term").join(holds, "text_hash").where(share(c("least"), most) >= generalise)
+    pairs = cut_lineage(pairs.select("text_hash", "entity", "term", "times", "held_by", "least"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.sum("times").alias("_times"), F.first("held_by").alias("held_by"), F.first("least").alias("least"))
+    joint = cut_lineage(joint.where((c("_times") >= support) & (share(c("least")) >= generalise)))
     counts = term_counts(docs, found, joint.select("term").distinct(), text)
-    told = joint.join(counts, "term").withColumn("_share", share(c("texts"))).where(c("_share") >= generalise).select(
+    told = joint.join(counts, "term", "left").withColumn("_share", share(F.greatest("texts", "least"))).where(c("_share") >= generalise).select(
         "entity", "term", F.when(c("_share") >= remove, "removed").otherwise("generalised").alias("kind"))
-    flagged = salted(near, told, ["entity", "term"], "text_hash").where(c("kind").isNotNull()).groupBy("text_hash", "start", "end").agg(F.max("kind").alias("kind"))
-    return flagged.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
+    flagged = salted(pairs.select("text_hash", "entity", "term"), told, ["entity", "term"], "text_hash").where(c("kind").isNotNull())
+    flagged = cut_lineage(flagged.groupBy("text_hash", "term").agg(F.max("kind").alias("kind")))
+    places = standing(docs, flagged.select("text_hash").distinct(), text, flagged.select("term").distinct()).join(flagged, ["text_hash", "term"])
+    return places.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
 
 
 def replaced(text: str, found: list[tuple[int, str, int]]) -> str:
@@ -249,10 +274,10 @@ def replaced(text: str, found: list[tuple[int, str, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text", reach: int = 5, support: int = 3, generalise: float = 0.75,
+def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.75,
              remove: float = 0.9) -> DataFrame:
     """``docs`` with the text sanitised; all columns stay and rows stay as they are; a null text stays null."""
-    terms = revealing(docs, cut_lineage(entities(docs, ident, text, reach)), text, support, generalise, remove).select(
+    terms = revealing(docs, cut_lineage(entities(docs, ident, text)), text, support, generalise, remove).select(
         c("text_hash").alias("_hash"), c("terms").alias("_terms"))
     rows = salted(docs.withColumn("_hash", F.xxhash64(text)), terms, ["_hash"], ident).drop("_hash")
 

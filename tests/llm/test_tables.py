@@ -66,6 +66,60 @@ def test_revealing_terms(spark):
     assert clean[1] == rows[1][1] and disclosure.spans(df.limit(0)).collect() == []
 
 
+def brute_told(texts, support=3, generalise=0.75, remove=0.9):
+    """Spans of revealing terms of each text: every pair of an entity and a word counted over whole distinct texts."""
+    held, words = {}, {}
+    for text in set(texts):
+        spans = brute_base(text)
+        names = [(k, text[s:e] if k in ("email", "ip") else re.sub(r"[ ().-]", "", text[s:e])) for s, k, e in spans]
+        held[text] = {x: names.count(x) for x in names}
+        blank = list(text)
+        for s, _, e in spans:
+            blank[s:e] = " " * (e - s)
+        words[text] = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", "".join(blank)) if any(map(str.isalnum, m.group()))]
+    where = {}
+    for text, found in words.items():
+        for s, e in found:
+            where.setdefault(text[s:e].lower(), set()).add(text)
+    out = {text: set() for text in held}
+    for entity in {x for h in held.values() for x in h}:
+        mine = {t for t in held if entity in held[t]}
+        for term, others in where.items():
+            both = mine & others
+            if both and sum(held[t][entity] for t in both) >= support:
+                share = np.log2(len(held) * len(both) / (len(mine) * len(others))) / np.log2(max(len(held), len(mine) + 1) / len(mine))
+                if share >= generalise:
+                    for t in both:
+                        out[t] |= {(s, "removed" if share >= remove else "generalised", e) for s, e in words[t] if t[s:e].lower() == term}
+    return {t: sorted({s: (s, max(k for a, k, _ in found if a == s), e) for s, _, e in found}.values()) for t, found in out.items()}
+
+
+def test_revealing_terms_of_whole_texts(spark):
+    rng = random.Random(11)
+    filler = [f"word{i}" for i in range(150)]
+    base = ["z@x.example", "10.1.2.3", "+1 (416) 555-9937", "q@y.example"]
+    texts = []
+    for i in range(240):
+        w = [rng.choice(filler) for _ in range(40)]
+        if i % 24 == 0:  # far from the entity, and twice
+            w[2], w[20], w[38] = "Zorro", base[0], "zorro"
+        if i % 24 == 5:
+            w[0], w[30] = "Half" if i % 48 == 5 else "Other", base[1 + i % 3]
+        if i % 40 == 7:
+            w[1] = "Half"
+        if i == 9:
+            w[0], w[9], w[19], w[29] = "single", *["lone@z.example"] * 3
+        texts.append(" ".join(w))
+    texts += ["Glued:q@y.example and 10.1.2.3,glued again", "", None, texts[0], texts[0], texts[24]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_told([t or "" for t in texts])
+    got = {r.doc_id: [tuple(x) for x in r.terms] for r in disclosure.spans(df).collect()}
+    assert len(got) == len(texts) and all(got[i] == want[t or ""] for i, t in enumerate(texts))
+    assert {texts[0][s:e] for s, _, e in got[0]} == {"Zorro", "zorro"} and "single" in {texts[9][s:e] for s, _, e in got[9]}
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(df).collect()}
+    assert "zorro" not in clean[0].lower() and "zorro" not in clean[len(texts) - 1].lower()
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
