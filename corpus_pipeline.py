@@ -2,7 +2,8 @@
 
 Every stage reads all that its predecessor kept, written as Parquet. All but the last return the
 columns of ``documents``. Null, empty and repeated rows: a text without letters goes with the first
-stage; of repeated rows the second keeps one.
+stage; of repeated rows the second keeps one. Stages decide by row, not by id: a null id is one like others, rows of
+one id are documents of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ from landwatch.session import shared_dir
 c = F.col
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, equal for equal rows only: the order of ids, null last, then of a 128-bit hash of all columns."""
+    whole = [*docs.columns, *(c(k).isNull() for k in docs.columns)]
+    return docs.withColumn("_row", F.struct(c("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(1), *whole).alias("_h2")))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; a text that is null or has no letters goes."""
     small_batches(spark)
@@ -28,11 +35,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group linked by five-word shingles at a likeness of 0.8 or more."""
+    """One row of each group linked by five-word shingles at a likeness of 0.8 or more: that of least id, a null id after all others."""
     small_batches(spark)
-    groups = shingle_join.components(docs, words=5, threshold=(4, 5))
-    stay = groups.where(c("doc_id").eqNullSafe(c("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(docs.columns)
+    keyed = with_key(docs)
+    groups = shingle_join.components(keyed, "_row", words=5, threshold=(4, 5))
+    stay = groups.where(c("_row") == c("component_id")).select("_row").distinct()
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +52,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; documents that it leaves out go."""
     small_batches(spark)
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text")))
+    keyed = with_key(docs)
     plan = mixture.mix(keyed, ident="_row").where("taken > 0").groupBy("_row").agg(F.sum(c("taken") / c("size")).cast("int").alias("_copies"))
-    rows = keyed.join(plan, "_row").dropDuplicates([*docs.columns, "_row"])
+    rows = keyed.join(plan, "_row").dropDuplicates(["_row"])
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), c("_copies"))).alias("_copy")).select(*docs.columns)
 
 

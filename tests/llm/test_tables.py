@@ -219,6 +219,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert last.count() == docs.count()
 
 
+def test_pipeline_decides_by_row(spark):
+    long = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = {k: v + " more" for k, v in long.items()}
+    rows = [(None, long["a"], "en", "s"), (None, long["b"], "en", "s"), (5, long["c"], "en", "s"), (6, near["c"], "en", "s"), (6, long["d"], "en", "s"), (None, near["d"], "en", "s"),
+            (8, long["e"], "en", "s"), (8, near["e"], "en", "s"), (9, long["f"], "en", None), (9, long["f"], None, "en"), (None, long["g"], "en", "s"), (None, long["g"], "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_a_kind(spark, df, SF).collect()]
+    assert len(got) == 7 and set(got) <= set(rows)
+    assert {t[0] for _, t, _, _ in got} == set(long) and {(i, t) for i, t, _, _ in got} >= {(None, long["a"]), (None, long["b"]), (5, long["c"]), (6, long["d"]), (None, long["g"])}
+    two = spark.createDataFrame([(9, long["f"], "en", "s1"), (9, long["f"], "fr", "s2"), (None, long["g"], "en", "s2")], df.schema)
+    words = {}
+    for r in corpus_pipeline.mixed_sources(spark, two, SF).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    want = brute_targets({"s1": 60, "s2": 120})
+    assert words == {s: n // 60 * 60 for s, n in want.items()}
+
+
 @pytest.mark.parametrize("name", ["op2_disclosure", "op5_mixture"])
 def test_queries_cover_all_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() == queries.table(spark, SF, "documents").count()
