@@ -1,6 +1,7 @@
 """Raw features to assets, feature collections, object listings and reviewer texts."""
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from landwatch.functions import narrative as N
 from landwatch.functions import projection as P
 from landwatch.operators import scoring as S
 from landwatch.operators.loads import make_asset_id
+from landwatch.session import shared_dir
 from landwatch.sources import assets as A
 from landwatch.sources import geojson as J
 from landwatch.sources import listing as L
@@ -156,10 +158,11 @@ def asset_feature_export(t):
 
 @query("assets", """SELECT count(*) AS features, min(asset_id) AS first_id FROM assets WHERE aoi_id = 'aoi-1'""")
 def asset_collection(t):
-    """One collection text, read back."""
-    f = J.asset_features(t.assets.withColumn("geometry", G.point(c("lon"), c("lat"))), "aoi-1")
-    rows = F.from_json(F.get_json_object("collection", "$.features"), "array<struct<id:string>>")
-    return J.collection(f, "asset_id").select(F.size(rows).cast("long").alias("features"), F.get(rows, F.lit(0))["id"].alias("first_id"))
+    """All features of an area, written one per line in parallel files and read back."""
+    spark = t.assets.sparkSession
+    path = f"{shared_dir(spark)}/asset-collection-{uuid.uuid4().hex}"
+    J.write_features(J.asset_features(t.assets.withColumn("geometry", G.point(c("lon"), c("lat"))), "aoi-1"), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.id").alias("id")).agg(F.count("*").alias("features"), F.min("id").alias("first_id"))
 
 
 @query("stored_changes stored_runs", """SELECT ch.change_id, 'Polygon' AS kind, ch.area_sq_meters, CASE change_type WHEN 0 THEN 'Unknown' WHEN 1 THEN 'VegetationLoss' WHEN 2 THEN 'VegetationGain' ELSE 'LandslideDebris' END AS change_type_name

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from landwatch.catalogue import ingest
 from landwatch.operators import checks, lists, loads, state
 from landwatch.plans import executor as E
 from landwatch.plans.query_plan import lenient_text, load_plan
@@ -161,6 +163,15 @@ def test_check_prefers_the_newest_unused_scene(spark):
     assert [r.aoi_id for r in made.collect()] == ["b"] and marked.where("last_checked_at IS NOT NULL").count() == 2
 
 
+def test_unlimited_collection_is_no_single_row(spark):
+    rows = [(f"asset-{k}", f"aoi-{k % 2}", "na\nme", 6, 3, "d", -121.5, 39.7) for k in range(30)]
+    df = spark.createDataFrame(rows, "asset_id string, aoi_id string, name string, asset_type int, criticality int, source_dataset string, lon double, lat double")
+    got = ingest.asset_collection(SimpleNamespace(assets=df))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert [tuple(r) for r in got.collect()] == [(15, "asset-1")]
+    assert [tuple(r) for r in ingest.asset_collection(SimpleNamespace(assets=df.limit(0))).collect()] == [(0, None)]
+
+
 def test_catalog_and_collections_from_files(spark, tmp_path):
     item = {"id": "S1", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-06-01T10:00:00Z", "platform": "p", "proj:epsg": 32610},
             "assets": {"B04": {"href": "h4", "type": "t"}, "preview": {"href": "x", "type": "t"}}}
