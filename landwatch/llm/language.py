@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landwatch.llm.batches import per_batch, strings
+from landwatch.session import cut_lineage
 
 BINS, ORDERS, ROWS = 1 << 16, 4, 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -65,14 +66,21 @@ def train(texts: Sequence[str], labels: Sequence[str], landmarks: int = 64, ridg
     return names, np.vstack([folded, beta[-1:]]).astype(np.float32)
 
 
-def fit(df: DataFrame, learn: Column, ident: str, text: str, lang: str, per_language: int) -> tuple[list[str], np.ndarray]:
-    """Train on at most ``per_language`` rows of each language, those of least hash of ``ident``; one task, a bounded sample."""
+def learned(df: DataFrame, learn: Column, ident: str, text: str, lang: str, per_language: int) -> DataFrame:
+    """``_id, _text, _lang`` of at most ``per_language`` rows of each language, those of least hash of ``ident``; picked in parallel before they come together."""
     usable = df.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     picked = usable.select(F.col(ident).alias("_id"), F.col(lang).alias("_lang")).withColumn(
         "_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id").distinct()
     sample = usable.select(F.col(ident).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(
-        F.broadcast(picked), "_id", "left_semi")  # bounded by per_language rows a language
+        F.broadcast(picked), "_id", "left_semi")  # an id may stand in any number of rows
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")))
+    return cut_lineage(sample).withColumn("_n", place).where(F.col("_n") <= per_language).drop("_n")
+
+
+def fit(df: DataFrame, learn: Column, ident: str, text: str, lang: str, per_language: int) -> tuple[list[str], np.ndarray]:
+    """Train on a bounded sample in one task."""
+    sample = learned(df, learn, ident, text, lang, per_language)
 
     def run(batches):
         texts, labels = [], []

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from landwatch.llm.batches import flat, per_batch, slices
 from landwatch.llm.hashing import SPACE, U, mix, prefix_sums, span_hashes, word_spans
+from landwatch.session import cut_lineage
 
 BITS = 18
 BIAS = 1 << BITS
@@ -76,12 +77,18 @@ def train(rows: list[tuple[np.ndarray, float, float]], alpha: float = 1.0, beta:
     return weights(np.arange(BIAS + 1)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, ident: str, text: str, label: str, sample: int) -> np.ndarray:
-    """Train on at most ``sample`` labelled rows, those of least hash of ``ident``; one task, a bounded sample."""
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, ident: str, text: str, label: str, sample: int) -> DataFrame:
+    """``_id, _text, _y`` of at most ``sample`` labelled rows, those of least hash of ``ident``; picked in parallel before they come together."""
     known = labels.where(F.col(label).isNotNull() & learn).select(F.col(ident).alias("_id"), F.col(label).cast("double").alias("_y"))
     order = F.xxhash64(F.lit(8), "_id")
     picked = known.orderBy(order, "_id", "_y").limit(sample)
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")  # at most ``sample`` rows
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")  # an id may stand in any number of rows
+    return cut_lineage(rows).orderBy(order, "_id", F.xxhash64("_text"), "_y").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, ident: str, text: str, label: str, sample: int) -> np.ndarray:
+    """Train on a bounded sample in one task."""
+    rows = learned(docs, labels, learn, ident, text, label, sample)
 
     def run(batches):
         seen = []
@@ -93,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, ident: str, text: str
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([train(seen).tobytes()])], names=["weights"])
 
-    row = rows.coalesce(1).sortWithinPartitions(order, "_id", "_text").mapInArrow(run, "weights binary").first()
+    row = rows.coalesce(1).sortWithinPartitions(F.xxhash64(F.lit(8), "_id"), "_id", "_text").mapInArrow(run, "weights binary").first()
     return np.frombuffer(bytes(row.weights), np.float32) if row else np.zeros(BIAS + 1, np.float32)
 
 

@@ -43,3 +43,15 @@ def test_quality_edges(spark):
     assert len(got) == 5 and score[1] > score[4] and score[2] == score[3]
     assert {r.score for r in quality.rate(docs, labels, F.lit(False)).collect()} == {0.5}
     assert quality.rate(docs.limit(0), labels, F.lit(True)).collect() == []
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = [(7, f"fine words {i % 50}", "en") for i in range(400)] + [(i, "andere Worte", "de") for i in range(8, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 20)], "doc_id long, quality int")
+    picked = quality.learned(docs, labels, F.lit(True), "doc_id", "text", "quality", 13)
+    assert picked.count() == 13
+    found = language.learned(docs, F.lit(True), "doc_id", "text", "lang", 10)
+    assert {r["_lang"]: r["count"] for r in found.groupBy("_lang").count().collect()} == {"en": 10, "de": 10}
+    for rows in (picked, found):  # the scan and the join are written before rows come together
+        assert "Join" not in rows._jdf.queryExecution().toString()
