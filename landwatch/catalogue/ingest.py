@@ -140,10 +140,13 @@ def node_features(t):
 
 @query("assets", """SELECT asset_id, CASE WHEN k % 3 = 0 THEN 'Invalid GeoJSON geometry' WHEN k % 3 = 1 THEN 'Coordinates outside WGS84 range' END AS error FROM (SELECT asset_id, CAST(regexp_extract(asset_id, '\\d+') AS BIGINT) AS k FROM assets)""")
 def geometry_checks(t):
-    """GeoJSON geometries parsed and checked against degree limits."""
-    k = F.regexp_extract("asset_id", r"(\d+)", 1).cast("long")
-    text = (F.when(k % 3 == 0, F.lit('{"type":"Point","coordinates":"nowhere"}')).when(k % 3 == 1, F.lit('{"type":"LineString","coordinates":[[10,20],[200,20]]}'))
-            .otherwise(F.lit('{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}')))
+    """GeoJSON geometries at each asset's place, some spoiled, parsed and checked against degree limits."""
+    k, far = F.regexp_extract("asset_id", r"(\d+)", 1).cast("long"), 0.001 * (1 + c("criticality"))
+    at = lambda dx=0, dy=0: F.array(c("lon") + dx, c("lat") + dy)
+    ring = lambda d: F.array(F.array(at(d, d), at(d + far, d), at(d + far, d + far), at(d, d)))
+    shaped = lambda kind, places: F.to_json(F.struct(F.lit(kind).alias("type"), places.alias("coordinates")))
+    text = (F.when(k % 3 == 0, shaped("Point", F.concat_ws(",", at().cast("array<string>")))).when(k % 3 == 1, shaped("LineString", F.array(at(), at(360))))
+            .otherwise(shaped("MultiPolygon", F.array(ring(F.lit(0.0)), ring(2 * far)))))
     good, bad = J.check_geometry(t.assets.select("asset_id", G.from_geojson(text).alias("geometry")))
     return good.select("asset_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("asset_id", "error"))
 

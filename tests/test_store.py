@@ -172,6 +172,14 @@ def test_unlimited_collection_is_no_single_row(spark):
     assert [tuple(r) for r in ingest.asset_collection(SimpleNamespace(assets=df.limit(0))).collect()] == [(0, None)]
 
 
+def test_geometry_checks_read_each_place(spark):
+    rows = [(f"asset-{k}", 2, lon, 39.7) for k, lon in ((0, -121.5), (1, -121.5), (2, -121.5), (5, 179.9995), (8, -180.5))]
+    df = spark.createDataFrame(rows, "asset_id string, criticality int, lon double, lat double")
+    bad, far = "Invalid GeoJSON geometry", "Coordinates outside WGS84 range"
+    got = {r.asset_id: r.error for r in ingest.geometry_checks(SimpleNamespace(assets=df)).collect()}
+    assert got == {"asset-0": bad, "asset-1": far, "asset-2": None, "asset-5": far, "asset-8": far}
+
+
 def test_catalog_and_collections_from_files(spark, tmp_path):
     item = {"id": "S1", "bbox": [1, 2, 3, 4], "properties": {"datetime": "2024-06-01T10:00:00Z", "platform": "p", "proj:epsg": 32610},
             "assets": {"B04": {"href": "h4", "type": "t"}, "preview": {"href": "x", "type": "t"}}}
