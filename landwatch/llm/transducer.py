@@ -8,10 +8,9 @@ its last token, and its transitions carry the change of the emitted-token count.
 when first met, all new ones of a batch level by level, and kept by hash of the prefix; emptying the
 table changes no result.
 
-After its first reset a chunk of text leaves the same state whatever state it was entered with, so a
-chunk's state map is (open head, tokens between resets, open tail) and maps compose by joining the
-tail of one with the head of the next. Over a batch that composition is one prefix sum of the
-segments' counts, read off at the texts' ends.
+Texts are not cut into chunks and no state maps of chunks are composed: resets part a text into segments
+already. Over a batch one prefix sum of the segments' counts is read off at the texts' ends; a text longer than
+a step is one step.
 
 Segments with runs of space marks, whose entries tie in rank, and segments of over ``LONG``
 characters apply the merges directly from a heap. Null texts count as empty. Repeated rows give
