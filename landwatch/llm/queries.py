@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bpe, disclosure, language, mixture, neighbours, parsing, quality, repeats, shingle_join, transducer
+from landwatch.llm import alignment, bpe, disclosure, divergence, language, mixture, neighbours, parsing, quality, repeats, shingle_join, simhash, transducer
 from landwatch.llm.batches import small_batches
 
 QUERIES, ORACLES = {}, {}
@@ -97,6 +97,56 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op11_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+occurring AS (SELECT row_no, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT row_no) >= 10),
+sizes AS (SELECT d.lang, (SELECT count(*) FROM kept k WHERE k.lang = d.lang)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM docs) d),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurring JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, v, coalesce((SELECT sum(n) FROM counts x WHERE x.lang = g.lang AND x.source = g.source), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN sizes USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.n, 0) AS n, 1 + (1000000000 * (coalesce(x.n, 0) + 2)) // (total + 2 * v) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+whole AS (
+  SELECT k.lang, k.term, 1 + (1000000000 * ((SELECT sum(n) FROM counts x WHERE x.lang = k.lang AND x.term = k.term) + 2)) // (t.total + 2 * t.v) AS q
+  FROM kept k JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM groups GROUP BY lang) t ON t.lang = k.lang),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(apart.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN apart ON apart.lang = g.lang AND apart.source = g.source AND apart.item = h.source),
+words AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components(table(spark, folder, "documents"))
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
     return dict(QUERIES)
 
