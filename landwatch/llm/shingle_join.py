@@ -11,12 +11,16 @@ Documents with one set of word shingles are one node. The join uses relations be
   over all documents. A list is cut in blocks by size class and pivot; a block is skipped by what
   its positions leave at most, pairs of one pivot are never enumerated.
 
-Candidates are then checked on whole sets, and links are followed to components. Sets are of 64-bit
-hashes of shingles.
+Only components are asked for, so pairs of one component are not listed. Components are known from the pivots first; then
+each list compares every row with a few others at fixed strides, which is linear in the list, and what links is merged;
+then all lists are gone through in full, between components only. A list longer than ``CHUNK`` is dealt in pairs of chunks. A pair
+must also pass the parities of its sets: 256 bits a set, of which no more can differ than shingles do. What is left is checked
+on whole sets. Sets are of 64-bit hashes of shingles.
 
 Texts with fewer words than a shingle are one shingle; null texts and texts without words are empty and
-link with nothing. Repeated rows share a node. A null id takes part by its text; a component is
-named by its least id that is not null. An empty table gives an empty one.
+link with nothing. Very long texts are steps of their own, whole. Repeated rows share a node. A null id takes part by its text; a component is
+named by its least id that is not null, of equal ids by one of them. A pair exactly at the threshold links. Other columns are ignored, whatever their names.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landwatch.llm import filters
+from landwatch.llm import filters, linking
 from landwatch.llm.batches import STEP, flat, packed, slices, unpacked
 from landwatch.llm.hashing import LOWER, U, mix, ragged, word_hashes
 from landwatch.session import cut_lineage
@@ -37,6 +41,10 @@ from landwatch.session import cut_lineage
 SKETCH, SAMPLES, SHARED = 1 << 18, 16, 5
 #: Members of a pivot that one task compares, pairs enumerated at once, index rows of one step.
 CROWD, PAIRS, ROWS = 2000, 1 << 19, 1 << 16
+#: Rows of a list that one task compares with as many others; parities of a set.
+CHUNK, PARITIES = 20_000, 256
+#: How far apart rows of a list stand that are compared before all others, and how often, so that large groups are components by then.
+STRIDES, ROUNDS = (1, 2, 3, 5, 8, 13), 2
 #: Shingles of sets that a checking task keeps.
 HELD = 1_000_000
 c = F.col
@@ -70,8 +78,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
 def profiles(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
     """Per row ``id, n, sig1, sig2, t1, t2, least``; and per task the sketch as ``bucket, times`` arrays."""
     kind = docs.schema[ident].dataType.simpleString()
-    schema = f"id {kind}, n long, sig1 long, sig2 long, t1 long, t2 long, least array<long>, bucket array<int>, times array<int>"
-    names = ["id", "n", "sig1", "sig2", "t1", "t2", "least", "bucket", "times"]
+    schema = f"id {kind}, n long, sig1 long, sig2 long, t1 long, t2 long, least array<long>, bits binary, bucket array<int>, times array<int>"
+    names = ["id", "n", "sig1", "sig2", "t1", "t2", "least", "bits", "bucket", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, ident_type = np.zeros(SKETCH, np.int64), None
@@ -90,15 +98,17 @@ def profiles(docs: DataFrame, ident: str, text: str, words: int) -> DataFrame:
                 first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(size)))])
                 ident_type = part.column("id").type
+                odd = np.bincount(owner * PARITIES + ((token >> U(40)) % U(PARITIES)).astype(np.int64), minlength=len(size) * PARITIES) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(len(size), PARITIES), axis=1)
                 none = pa.nulls(len(size), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(size), *(pa.array(s.view(np.int64)) for s in sig), part.column("t1"), part.column("t2"),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token[first].view(np.int64))), none, none], names=names)
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token[first].view(np.int64))), pa.array([x.tobytes() for x in bits], pa.binary()), none, none], names=names)
         if ident_type is not None:
             full = np.flatnonzero(count)
             for at in range(0, len(full), 8192):
                 part = full[at:at + 8192]
-                rest = [pa.nulls(1, t) for t in (ident_type, *[pa.int64()] * 5, pa.list_(pa.int64()))]
+                rest = [pa.nulls(1, t) for t in (ident_type, *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([part.astype(np.int32)], pa.list_(pa.int32())), pa.array([count[part].astype(np.int32)], pa.list_(pa.int32()))], names=names)
 
     return keyed(docs.select(c(ident).alias("id"), F.coalesce(c(text), F.lit("")).alias("_text"))).mapInArrow(run, schema)
@@ -133,98 +143,164 @@ def prefix(token: np.ndarray, sketch: np.ndarray, a: int, b: int) -> np.ndarray:
     return token[np.lexsort((token, rare))][:keep]
 
 
-def enumerate_pairs(key, blk, label, node, pos, size, weight, base, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of complete index lists; rows of equal label never meet."""
-    order = np.lexsort((label, blk, key))
-    key, blk, label, node, pos, size, weight, base = (x[order] for x in (key, blk, label, node, pos, size, weight, base))
+def allowed(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Whether rows x and y of one list may link: by what their positions leave, their labels, components, chunks and parities."""
+    left, weight = rows["size"] - rows["pos"], rows["weight"]
+    ok = (a + b) * np.minimum(left[x], left[y]) + rows["base"][x] >= weight[x] + weight[y]
+    ok &= (rows["label"][x] != rows["label"][y]) & (rows["comp"][x] != rows["comp"][y])
+    side = rows["side"]
+    ok &= (side[x] == 0) | (side[x] != side[y])
+    if "bits" in rows:
+        spot = np.flatnonzero(ok)
+        differ = np.bitwise_count(rows["bits"][x[spot]] ^ rows["bits"][y[spot]]).sum(axis=1, dtype=np.int64)
+        ok[spot] = (a + b) * differ <= (b - a) * (rows["n"][x[spot]] + rows["n"][y[spot]])
+    return ok
+
+
+def enumerate_pairs(rows: dict[str, np.ndarray], a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of complete index lists; rows of one component never meet."""
+    order = np.lexsort((rows["comp"], rows["blk"], rows["key"]))
+    rows = {k: v[order] for k, v in rows.items()}
+    key, blk, size, weight, base = (rows[k] for k in ("key", "blk", "size", "weight", "base"))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])])
     run = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(key))
-    _, code = np.unique(label, return_inverse=True)
+    _, code = np.unique(rows["comp"], return_inverse=True)
     comp = run * (int(code.max()) + 1) + code
-    left = size - pos  # tokens from here on, this one included
+    left = size - rows["pos"]  # tokens from here on, this one included
     most_left, least_weight = np.maximum.reduceat(left, starts), np.minimum.reduceat(weight, starts)
     row = np.arange(len(key))
 
-    def possible(rows, block):  # what the best position and the least weight of a block allow
-        return (a + b) * np.minimum(left[rows], most_left[block]) + base[rows] >= weight[rows] + least_weight[block]
+    def possible(at, block):  # what the best position and the least weight of a block allow
+        return (a + b) * np.minimum(left[at], most_left[block]) + base[at] >= weight[at] + least_weight[block]
 
     spans = []
-    rows = row[possible(row, run)]
-    spans.append((rows, np.searchsorted(comp, comp[rows], side="right"), ends[run[rows]]))
+    at = row[possible(row, run)]
+    spans.append((at, np.searchsorted(comp, comp[at], side="right"), ends[run[at]]))
     head = starts[run]
     before = (run > 0) & (key == key[np.maximum(head - 1, 0)]) & (blk == blk[np.maximum(head - 1, 0)] + 1)
-    rows = row[before]
-    rows = rows[possible(rows, run[rows] - 1)]
-    target = comp[rows] - (int(code.max()) + 1)
-    spans.append((rows, starts[run[rows] - 1], np.searchsorted(comp, target)))
-    spans.append((rows, np.searchsorted(comp, target, side="right"), ends[run[rows] - 1]))
-    for rows, lo, hi in spans:
+    at = row[before]
+    at = at[possible(at, run[at] - 1)]
+    target = comp[at] - (int(code.max()) + 1)
+    spans.append((at, starts[run[at] - 1], np.searchsorted(comp, target)))
+    spans.append((at, np.searchsorted(comp, target, side="right"), ends[run[at] - 1]))
+    for at, lo, hi in spans:
         count = np.maximum(hi - lo, 0)
         use = count > 0
-        rows, lo, count = rows[use], lo[use], count[use]
+        at, lo, count = at[use], lo[use], count[use]
         total = np.cumsum(count)
-        at = 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-            x = np.repeat(rows[at:to], count[at:to])
-            y = ragged(lo[at:to], count[at:to])
-            ok = (a + b) * np.minimum(left[x], left[y]) + base[x] >= weight[x] + weight[y]
-            x, y = node[x[ok]], node[y[ok]]
+        done = 0
+        while done < len(at):
+            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, side="right")))
+            x = np.repeat(at[done:to], count[done:to])
+            y = ragged(lo[done:to], count[done:to])
+            ok = allowed(rows, x, y, a, b)
+            x, y = rows["node"][x[ok]], rows["node"][y[ok]]
             yield np.minimum(x, y), np.maximum(x, y)
-            at = to
+            done = to
 
 
-def _lists(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
-    """Candidates from index rows sorted by key and block; a list's rows of the last two blocks are held for what follows."""
-    held: dict[str, np.ndarray] | None = None
+def _columns(batch: pa.RecordBatch, a: int) -> dict[str, np.ndarray]:
+    """The rows of a batch as arrays; a missing label or component is the node itself."""
+    whole = lambda k: batch.column(k).to_numpy().astype(np.int64)
+    rows = {k: whole(k) for k in ("key", "blk", "node", "pos", "size")}
+    rows["label"] = batch.column("label").fill_null(-1).to_numpy()
+    rows["label"] = np.where(rows["label"] < 0, rows["node"], rows["label"])
+    rows["weight"] = batch.column("weight").fill_null(-1).to_numpy().astype(np.int64)
+    rows["weight"] = np.where(rows["weight"] < 0, a * rows["size"], rows["weight"])
+    rows["base"] = batch.column("base").fill_null(0).to_numpy().astype(np.int64)
+    names = batch.schema.names
+    rows["comp"] = whole("comp") if "comp" in names else rows["label"]
+    rows["side"] = whole("side") if "side" in names else np.zeros(len(rows["key"]), np.int64)
+    if "bits" in names:
+        rows["n"] = whole("n")
+        rows["bits"] = flat(batch.column("bits"))[0].reshape(-1, PARITIES // 8).view(U)
+    return rows
 
-    def step(rows, last: bool):
-        key, blk = rows["key"], rows["blk"]
-        known = rows["old"]
-        pairs = []
-        alone = np.concatenate([key[1:] != key[:-1], [True]]) & np.concatenate([[True], key[1:] != key[:-1]])
-        use = ~alone
-        if use.any():
-            take = [rows[k][use] for k in ("key", "blk", "label", "node", "pos", "size", "weight", "base")]
-            for x, y in enumerate_pairs(*take, a, b):
-                if len(x):
-                    pairs.append(np.unique(np.stack([x, y], axis=1), axis=0))
-        if last:
-            return pairs, None
-        keep = (key == key[-1]) & (blk >= blk[-1] - 1)
-        del known
-        return pairs, {k: v[keep] for k, v in rows.items()}
-
-    def out(pairs):
-        if pairs:
-            both = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "y"])
 
+def _told(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        both = np.unique(np.concatenate(pairs), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "y"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Candidates from index rows sorted by key, list after list; a list is whole before it is gone through, once."""
     waiting: list[dict[str, np.ndarray]] = []
     n = 0
 
-    def joined():
-        parts = ([held] if held is not None else []) + waiting
-        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    def found(rows):
+        if len(rows["key"]):
+            pairs = [np.unique(np.stack(pair, axis=1), axis=0) for pair in enumerate_pairs(rows, a, b) if len(pair[0])]
+            yield from _told(pairs)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, label = batch.column("node").to_numpy(), batch.column("label").fill_null(-1).to_numpy()
-        size, weight = batch.column("size").to_numpy().astype(np.int64), batch.column("weight").fill_null(-1).to_numpy().astype(np.int64)
-        waiting.append({"key": batch.column("key").to_numpy(), "blk": batch.column("blk").to_numpy().astype(np.int64), "node": node, "label": np.where(label < 0, node, label),
-                        "pos": batch.column("pos").to_numpy().astype(np.int64), "size": size, "weight": np.where(weight < 0, a * size, weight),
-                        "base": batch.column("base").fill_null(0).to_numpy().astype(np.int64), "old": np.zeros(len(node), bool)})
-        n += len(node)
+        if batch.num_rows:
+            waiting.append(_columns(batch, a))
+            n += batch.num_rows
         if n >= ROWS:
-            pairs, held = step(joined(), False)
-            yield from out(pairs)
-            waiting, n = [], 0
+            rows = {k: np.concatenate([w[k] for w in waiting]) for k in waiting[0]}
+            cut = int(np.searchsorted(rows["key"], rows["key"][-1]))  # the last list may go on
+            yield from found({k: v[:cut] for k, v in rows.items()})
+            waiting = [{k: v[cut:] for k, v in rows.items()}]
+            n = 0
     if waiting:
-        pairs, _ = step(joined(), True)
-        yield from out(pairs)
+        yield from found({k: np.concatenate([w[k] for w in waiting]) for k in waiting[0]})
+
+
+def _steps(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of rows that stand a few ``STRIDES`` apart in index rows sorted by key, block and any order: linear in the list."""
+    last: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _columns(batch, a)
+        if last is not None:
+            rows = {k: np.concatenate([last[k], v]) for k, v in rows.items()}
+        before = len(last["key"]) if last is not None else 0
+        last = {k: v[-max(STRIDES):] for k, v in rows.items()}
+        pairs = []
+        for stride in STRIDES:
+            y = np.arange(max(before, stride), len(rows["key"]))
+            x = y - stride
+            near = (rows["key"][x] == rows["key"][y]) & (rows["blk"][y] - rows["blk"][x] <= 1)
+            x, y = x[near], y[near]
+            ok = allowed(rows, x, y, a, b)
+            p, q = rows["node"][x[ok]], rows["node"][y[ok]]
+            if len(p):
+                pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+        yield from _told(pairs)
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and label those of lists with several labels. Of a list whose first label goes on over ``ROWS`` rows all are kept."""
+    held: list[pa.RecordBatch] = []
+    size, key_, label_, known = 0, None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, label = batch.column("key").to_numpy(), batch.column("label").to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = np.append(start[1:], len(key))
+        several = label[start] != label[end - 1]
+        if key_ == key[0]:
+            several[0] |= known or label_ != label[0]
+            if several[0]:
+                yield from held
+                held, size = [], 0
+        else:
+            held, size = [], 0
+        first, key_, label_, known = start[-1], key[-1], label[-1], bool(several[-1])
+        keep = np.repeat(several, end - start)
+        if not known:
+            held.append(batch.slice(first))
+            size += len(key) - first
+            if size > ROWS:
+                yield from held
+                held, size, known = [], 0, True
+        if keep.any():
+            yield batch.filter(pa.array(keep))
 
 
 INDEX = "key long, blk int, node long, label long, pos int, size int, weight int, base int"
@@ -266,8 +342,8 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
         sketch[row.bucket] = row.n
     shared = spark.sparkContext.broadcast(sketch)
     nodes = cut_lineage(found.where("n > 0").groupBy("sig1", "sig2", "n").agg(
-        F.min("id").alias("least_id"), F.min(F.struct("t1", "t2")).alias("_t"), F.first("least").alias("least")).select(
-        F.monotonically_increasing_id().alias("node"), "sig1", "sig2", "n", "least_id", "_t.t1", "_t.t2", "least"))
+        F.min("id").alias("least_id"), F.min(F.struct("t1", "t2")).alias("_t"), F.first("least").alias("least"), F.first("bits").alias("bits")).select(
+        F.monotonically_increasing_id().alias("node"), "sig1", "sig2", "n", "least_id", "_t.t1", "_t.t2", "least", "bits"))
     pivot = cut_lineage(pivots(nodes))
     crowd = pivot.groupBy("pivot").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts"))
     # where each set goes: 0 a pivot to its members' tasks, 1 a member to its pivot's, 2 a set on its own
@@ -347,10 +423,50 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     clustered = made.where("role is not null").select("to", "salt", "role", "node", "tokens").repartition(width, "to", "salt").sortWithinPartitions("to", "salt", "role")
     derived = cut_lineage(clustered.mapInArrow(deltas, INDEX + ", x long, y long"))
     parent = derived.where("x is not null").select(c("y").alias("node"), c("x").alias("up"))  # up < node
-    entries = made.where("key is not null").select(*index).unionByName(derived.where("key is not null").select(*index))
-    pairs = cut_lineage(entries.repartition(width, "key").sortWithinPartitions("key", "blk").mapInArrow(lambda x: _lists(x, a, b), "x long, y long").distinct())
-    links = cut_lineage(verified(pairs, nodes, body, words, a, b))
-    return named(rows, nodes, parent, links, ident)
+    entries = made.where("key is not null").select(*index).unionByName(derived.where("key is not null").select(*index)).withColumn("label", F.coalesce("label", "node"))
+    alive = cut_lineage(entries.repartition(width, "key").sortWithinPartitions("key", "label").mapInArrow(_alive, INDEX))
+    alive = cut_lineage(alive.join(nodes.select("node", "n", "bits"), "node"))
+    root = cut_lineage(followed(parent, nodes))
+    for turn in range(ROUNDS):  # in another order each time
+        met = with_roots(alive, root).withColumn("_order", F.xxhash64("node", F.lit(turn))).repartition(width, "key").sortWithinPartitions("key", "blk", "_order")
+        root = merged(met.mapInArrow(lambda x: _steps(x, a, b), "x long, y long").distinct(), root, nodes, body, words, a, b)
+    met = in_chunks(with_roots(alive, root)).repartition(width, "key").sortWithinPartitions("key")
+    root = merged(met.mapInArrow(lambda x: _lists(x, a, b), "x long, y long").distinct(), root, nodes, body, words, a, b)
+    return named(rows, nodes, root, ident)
+
+
+def followed(parent: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, root`` of every node by the pivots; pointers go to lower nodes, so each round halves the way."""
+    up = cut_lineage(parent)
+    while True:
+        higher = up.select(c("node").alias("up"), c("up").alias("_top"))
+        step = cut_lineage(up.join(higher, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), c("_top").isNotNull().alias("_moved")))
+        up = step.select("node", "up")
+        if step.where("_moved").isEmpty():
+            break
+    return nodes.select("node").join(up, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
+
+
+def with_roots(alive: DataFrame, root: DataFrame) -> DataFrame:
+    return alive.join(root.select("node", c("root").alias("comp")), "node")
+
+
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """Lists of more than ``CHUNK`` rows as pairs of their chunks, each a list of its own; rows of one side of a pair do not meet."""
+    most = rows.groupBy("key").agg(F.count("*").alias("_n")).where(c("_n") > CHUNK).select("key", F.ceil(c("_n") / CHUNK).cast("int").alias("_k"))
+    cut = rows.join(most, "key", "left").withColumn("_own", F.when(c("_k").isNotNull(), F.pmod(F.xxhash64("node"), c("_k")).cast("int")))
+    cut = cut.withColumn("_other", F.explode(F.when(c("_k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), c("_k") - 1))))
+    dealt = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    side = F.when(c("_k").isNull() | (c("_own") == c("_other")), 0).when(c("_own") < c("_other"), 1).otherwise(2)
+    return cut.withColumn("side", side).withColumn("key", F.when(c("_k").isNull(), c("key")).otherwise(dealt)).drop("_k", "_own", "_other")
+
+
+def merged(pairs: DataFrame, root: DataFrame, nodes: DataFrame, body: DataFrame, words: int, a: int, b: int) -> DataFrame:
+    """``node, root`` after the candidate pairs that link have joined their components."""
+    links = verified(cut_lineage(pairs), nodes, body, words, a, b)
+    for side in ("x", "y"):
+        links = linking.relabel(links, side, root)
+    return cut_lineage(linking.relabel(root, "root", linking.roots(links)))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, body: DataFrame, words: int, a: int, b: int) -> DataFrame:
@@ -395,34 +511,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, body: DataFrame, words: int, a:
     return both.select("x", "y", "_x", "_y").mapInArrow(check, "x long, y long")
 
 
-def named(rows: DataFrame, nodes: DataFrame, parent: DataFrame, links: DataFrame, ident: str) -> DataFrame:
-    """Follow links to components and give every row the least id of its own."""
-    root = cut_lineage(parent)
-    while True:  # pointers go to lower nodes, so each round halves the way
-        higher = root.select(c("node").alias("up"), c("up").alias("_top"))
-        step = cut_lineage(root.join(higher, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), c("_top").isNotNull().alias("_moved")))
-        root = step.select("node", "up")
-        if step.where("_moved").isEmpty():
-            break
-    top = root.select(c("node").alias("_n"), c("up").alias("_top"))
-    edge = links
-    for side in ("x", "y"):
-        edge = edge.join(top, edge[side] == top["_n"], "left").withColumn(side, F.coalesce("_top", side)).drop("_n", "_top")
-    edge = cut_lineage(edge.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    label = cut_lineage(edge.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", c("node").alias("root")))
-    two_way = edge.unionByName(edge.select(c("y").alias("x"), c("x").alias("y")))
-    while True:
-        near = two_way.join(label.select(c("node").alias("y"), c("root").alias("_r")), "y").groupBy("x").agg(F.min("_r").alias("_r"))
-        hooked = label.join(near, label["node"] == near["x"]).select("node", "root", F.least("root", "_r").alias("_new"))
-        # the label of a label: follow the pointer once more
-        follow = hooked.groupBy("root").agg(F.min("_new").alias("_to"))
-        step = cut_lineage(hooked.join(follow, "root", "left").select("node", F.least("_new", "_to").alias("_next"), "root").withColumn("_moved", c("_next") < c("root")))
-        label = step.select("node", c("_next").alias("root"))
-        if step.where("_moved").isEmpty():
-            break
-    placed = nodes.select("node", "sig1", "sig2", "n", "least_id").join(root, "node", "left").withColumn("node", F.coalesce("up", "node")).drop("up")
-    placed = placed.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = cut_lineage(placed.select("sig1", "sig2", "n", "root", "least_id"))
+def named(rows: DataFrame, nodes: DataFrame, root: DataFrame, ident: str) -> DataFrame:
+    """Give every row the least id of its component."""
+    placed = cut_lineage(nodes.select("node", "sig1", "sig2", "n", "least_id").join(root, "node").select("sig1", "sig2", "n", "root", "least_id"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named_ = placed.join(least, "root").select("sig1", "sig2", "n", "component_id")
     out = rows.join(named_, ["sig1", "sig2", "n"], "left")
