@@ -423,7 +423,7 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     clustered = made.where("role is not null").select("to", "salt", "role", "node", "tokens").repartition(width, "to", "salt").sortWithinPartitions("to", "salt", "role")
     derived = cut_lineage(clustered.mapInArrow(deltas, INDEX + ", x long, y long"))
     parent = derived.where("x is not null").select(c("y").alias("node"), c("x").alias("up"))  # up < node
-    entries = made.where("key is not null").select(*index).unionByName(derived.where("key is not null").select(*index)).withColumn("label", F.coalesce("label", "node"))
+    entries = made.where("key is not null").select(*index).unionByName(derived.where("key is not null").select(*index)).withColumn("label", F.when(c("label") >= 0, c("label")).otherwise(c("node")))
     alive = cut_lineage(entries.repartition(width, "key").sortWithinPartitions("key", "label").mapInArrow(_alive, INDEX))
     alive = cut_lineage(alive.join(nodes.select("node", "n", "bits"), "node"))
     root = cut_lineage(followed(parent, nodes))
