@@ -79,7 +79,7 @@ def ingest_tally(t):
     return A.ingest_tally(t.raw_features.withColumn("accepted", c("voltage").isNotNull()))
 
 
-@query("assets", """SELECT asset_id, left(concat(aoi_id, '-', sha256(concat_ws('|', name, source_dataset))), 36) AS generated_id FROM assets""")
+@query("assets", """SELECT asset_id, concat(aoi_id, '-', sha256(concat_ws('|', name, source_dataset))) AS generated_id FROM assets""")
 def generated_asset_ids(t):
     return t.assets.select("asset_id", make_asset_id(c("aoi_id"), c("name"), c("source_dataset")).alias("generated_id"))
 

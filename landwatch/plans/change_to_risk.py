@@ -93,20 +93,12 @@ def detect(bands: DataFrame, dem: DataFrame | None, rasters: DataFrame, keys: li
 
 def score(changes: DataFrame, assets: DataFrame, dem: DataFrame | None, rasters: DataFrame, keys: list[str],
           max_distance_m: float, overrides: dict[str, Any] | None = None) -> DataFrame:
-    """Risk events of changes and the assets of their area within the search distance.
-
-    A region that came in pieces is matched by piece, and its pairs are reduced to the least distance.
-    """
+    """Risk events of changes and the assets of their area within the search distance."""
     area = [k for k in keys if k in assets.columns]
     names = [k for k in assets.columns if k not in area]
     clash = {k: f"asset_{k}" for k in names if k in changes.columns and k not in ("geometry", "asset_id")}
     pairs = proximity.distance_join(changes, assets.withColumnsRenamed(clash), max_distance_m, within=area or None).drop("change_geometry", "asset_geometry", "centroid")
-    if not changes.where(c("piece") != "whole").isEmpty():
-        rest = [k for k in pairs.columns if k not in ("change_id", "asset_id", "piece", "pixels")]
-        nearest = F.min_by(F.struct(*rest), "distance_meters").alias("p")
-        pairs = pairs.groupBy("change_id", "asset_id").agg(nearest).select("change_id", "asset_id", "p.*")
-    else:
-        pairs = pairs.drop("piece", "pixels")
+    pairs = cut_lineage(pairs.drop("pixels"))  # read twice below: the join runs once
     if dem is None:
         pairs = pairs.withColumns({"elevation_diff_m": F.lit(None).cast("double"), "is_upslope": F.lit(None).cast("boolean")})
     else:
@@ -131,7 +123,7 @@ def change_to_risk(bands: DataFrame, rasters: DataFrame, assets: DataFrame, dem:
     found = detect(bands, dem, rasters, keys, cell_m, config)
     changes = found["changes"]
     if land_cover is not None:
-        cover = land_cover(changes).groupBy("change_id").agg(F.min("land_cover_class").alias("land_cover_class"))  # one row a change, however many pieces
+        cover = land_cover(changes).groupBy("change_id").agg(F.min("land_cover_class").alias("land_cover_class"))  # one row a change
         changes = changes.drop("land_cover_class").join(cover, "change_id", "left")
         refined = F.when(c("land_cover_class").isNotNull(), change_type(c("ndvi_drop_mean"), c("land_cover_class")))
         changes = changes.withColumn("change_type", F.coalesce(refined, "change_type"))

@@ -65,24 +65,35 @@ def rebuild(geoms, shape):
     return out % 2
 
 
-@pytest.mark.parametrize("whole", [10_000, 3])
-def test_polygons_cover_exactly_their_pixels(spark, whole):
-    mask = (np.random.default_rng(9).random((18, 20)) < 0.6).astype(int)
-    labelled = R.label_regions(pixels(spark, mask), ["scene"], tile=5, width=20)
-    polys = R.region_polygons(labelled, ["scene"], None, tile=5, whole_pixels=whole)
-    rows = polys.withColumn("area", G.area(F.col("geometry"))).collect()
-    assert sum(r.pixels for r in rows) == mask.sum() and all(r.area == r.pixels for r in rows)
-    assert (rebuild([r.geometry for r in rows], mask.shape) == mask).all()
-    if whole > 100:
-        assert all(r.geometry.type == "Polygon" and r.piece == "whole" for r in rows)
-
-
-def test_ring_with_hole_and_diagonal_neighbour():
+def polygons(spark, mask, tile):
+    labelled = R.label_regions(pixels(spark, mask), ["scene"], tile=5, width=mask.shape[1])
+    return R.region_polygons(labelled, ["scene"], None, tile=tile).withColumn("area", G.area(F.col("geometry"))).collect()
+
+
+@pytest.mark.parametrize("mask", [(np.random.default_rng(9).random((18, 20)) < 0.6).astype(int), spiral(21), np.ones((9, 9), int),
+                                  np.pad(np.ones((7, 9), int) - np.pad(np.ones((3, 3), int), ((2, 2), (3, 3))), 2)], ids=["noise", "spiral", "full", "hole"])
+def test_one_polygon_a_region_whatever_the_tiles(spark, mask):
+    found = {tile: polygons(spark, mask, tile) for tile in (3, 64)}
+    for rows in found.values():
+        assert len(rows) == len({r.component_id for r in rows}) == len(set(flood(mask).values()))
+        assert sum(r.pixels for r in rows) == mask.sum() and all(r.area == r.pixels for r in rows)
+        assert (rebuild([r.geometry for r in rows], mask.shape) == mask).all()
+        assert all(r.geometry.type == "Polygon" for r in rows)
+    key = lambda rows: sorted((r.component_id, r.geometry.parts[0][0], sorted(r.geometry.parts[0][1:])) for r in rows)
+    assert all(key(rows) == key(found[64]) for rows in found.values())
+
+
+def test_ring_with_hole_and_diagonal_neighbour(spark):
     ring = np.array([[1, 1, 1, 0], [1, 0, 1, 0], [1, 1, 1, 0], [0, 0, 0, 1]])
-    polys = R.trace(*(v.astype(np.int32) for v in np.nonzero(ring)))
-    assert sorted(len(p) for p in polys) == [1, 2]
-    outer, hole = [p for p in polys if len(p) == 2][0]
-    assert len(outer) == 5 and len(hole) == 5
+    for tile in (2, 64):
+        polys = [r.geometry.parts[0] for r in polygons(spark, ring, tile)]
+        assert sorted(len(p) for p in polys) == [1, 2]
+        outer, hole = [p for p in polys if len(p) == 2][0]
+        assert len(outer) == 5 and len(hole) == 5
+
+
+def test_empty_raster_has_no_polygons(spark):
+    assert polygons(spark, np.zeros((3, 3), int), 2) == []
 
 
 def test_small_regions_drop_and_statistics_follow(spark):
