@@ -24,6 +24,14 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {k.lower() for k in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``step`` bytes."""
     if batch.num_rows == 0:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.llm import filters
-from landwatch.llm.batches import flat, slices, strings
+from landwatch.llm.batches import flat, slices, strings, unused
 from landwatch.llm.hashing import LOWER, U, prefix_sums, span_hashes, word_hashes
 from landwatch.session import cut_lineage
 
@@ -222,8 +222,9 @@ def spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", support: i
 
 def salted(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
     """Left join whose hot keys are spread by the hash of ``by``; ``few`` has one row a key and is repeated for each salt."""
-    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few, [*on, "_salt"], "left").drop("_salt")
+    salt = unused(many, "_salt")
+    few = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few, [*on, salt], "left").drop(salt)
 
 
 def revealing(docs: DataFrame, found: DataFrame, text: str, support: int, generalise: float, remove: float) -> DataFrame:
@@ -276,18 +277,19 @@ def replaced(text: str, found: list[tuple[int, str, int]]) -> str:
 
 def sanitise(docs: DataFrame, ident: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.75,
              remove: float = 0.9) -> DataFrame:
-    """``docs`` with the text sanitised; all columns stay and rows stay as they are; a null text stays null."""
+    """``docs`` with the text sanitised; all columns stay, whatever their names, and rows stay as they are; a null text stays null."""
+    hashed, told = unused(docs, "_hash"), unused(docs, "_terms")
     terms = revealing(docs, cut_lineage(entities(docs, ident, text)), text, support, generalise, remove).select(
-        c("text_hash").alias("_hash"), c("terms").alias("_terms"))
-    rows = salted(docs.withColumn("_hash", F.xxhash64(text)), terms, ["_hash"], ident).drop("_hash")
+        c("text_hash").alias(hashed), c("terms").alias(told))
+    rows = salted(docs.withColumn(hashed, F.xxhash64(text)), terms, [hashed], ident).drop(hashed)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
                 made = []
-                for t, s in zip(part.column(text).to_pylist(), part.column("_terms").to_pylist()):
+                for t, s in zip(part.column(text).to_pylist(), part.column(told).to_pylist()):
                     made.append(t if t is None else replaced(t, sorted(base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in s or ()])))
-                names = [k for k in part.schema.names if k != "_terms"]
+                names = [k for k in part.schema.names if k != told]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if k == text else part.column(k) for k in names], names=names)
 
     return rows.mapInArrow(run, docs.schema)
