@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landwatch.llm import bpe, disclosure, language, mixture, shingle_join
-from landwatch.llm.batches import small_batches
+from landwatch.llm.batches import small_batches, unused
 from landwatch.session import shared_dir
 
 c = F.col
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, equal for equal rows only: the order of ids, null last, then of a 128-bit hash of all columns."""
-    whole = [*docs.columns, *(c(k).isNull() for k in docs.columns)]
-    return docs.withColumn("_row", F.struct(c("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(1), *whole).alias("_h2")))
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key equal for equal rows only, and its name: the order of ids, null last, then of a 128-bit hash of all columns."""
+    named = [c(f"`{k}`") for k in docs.columns]
+    whole, key = [*named, *(k.isNull() for k in named)], unused(docs, "_row")
+    return docs.withColumn(key, F.struct(c("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(1), *whole).alias("_h2"))), key
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +38,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by five-word shingles at a likeness of 0.8 or more: that of least id, a null id after all others."""
     small_batches(spark)
-    keyed = with_key(docs)
-    groups = shingle_join.components(keyed, "_row", words=5, threshold=(4, 5))
-    stay = groups.where(c("_row") == c("component_id")).select("_row").distinct()
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    keyed, key = with_key(docs)
+    groups = shingle_join.components(keyed, key, words=5, threshold=(4, 5))
+    stay = groups.where(c(key) == c("component_id")).select(key).distinct()
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,11 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; documents that it leaves out go."""
     small_batches(spark)
-    keyed = with_key(docs)
-    plan = mixture.mix(keyed, ident="_row").where("taken > 0").groupBy("_row").agg(F.sum(c("taken") / c("size")).cast("int").alias("_copies"))
-    rows = keyed.join(plan, "_row").dropDuplicates(["_row"])
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), c("_copies"))).alias("_copy")).select(*docs.columns)
+    keyed, key = with_key(docs)
+    times = unused(keyed, "_copies")
+    plan = mixture.mix(keyed, ident=key).where("taken > 0").groupBy(key).agg(F.sum(c("taken") / c("size")).cast("int").alias(times))
+    rows = keyed.join(plan, key).dropDuplicates([key])
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), c(times))).alias(unused(keyed, "_copy"))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
