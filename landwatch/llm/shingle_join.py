@@ -44,7 +44,7 @@ CROWD, PAIRS, ROWS = 2000, 1 << 19, 1 << 16
 #: Rows of a list that one task compares with as many others; parities of a set.
 CHUNK, PARITIES = 20_000, 256
 #: How far apart rows of a list stand that are compared before all others, and how often, so that large groups are components by then.
-STRIDES, ROUNDS = (1, 2, 3, 5, 8, 13), 2
+STRIDES, ROUNDS = (1, 2, 3, 5, 8, 13), 1
 #: Shingles of sets that a checking task keeps.
 HELD = 1_000_000
 c = F.col
@@ -448,7 +448,9 @@ def followed(parent: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def with_roots(alive: DataFrame, root: DataFrame) -> DataFrame:
-    return alive.join(root.select("node", c("root").alias("comp")), "node")
+    """Rows with their component; only nodes that have moved are looked up."""
+    moved = root.where("root <> node").select("node", c("root").alias("comp"))
+    return alive.join(moved, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def in_chunks(rows: DataFrame) -> DataFrame:
