@@ -72,30 +72,40 @@ def slope_aspect(dem: DataFrame, keys: list[str], cell_m: float, tile: int = 256
     return spread.groupBy(*keys, "tile_row", "tile_col").applyInArrow(derive, schema)
 
 
+def zone_spans(zones: DataFrame, grid: Grid, zone_key: str, keys: list[str] | None = None) -> DataFrame:
+    """Zones as spans of pixels: keys, zone_key, row_idx, c0, c1 for pixels whose centre lies inside the polygon.
+
+    A polygon is read once, where it is stored, and given away as plain numbers in bounded batches, however
+    many vertices or rows it has. Null and empty geometries give no spans.
+    """
+    names = [*(keys or []), zone_key]
+    z = zones.where(c("geometry").isNotNull()).select(*names, c("geometry.parts").alias("_parts"))
+    schema = T.StructType([*[zones.schema[k] for k in names], *[T.StructField(k, T.IntegerType()) for k in ("row_idx", "c0", "c1")]])
+
+    def scan(batches):
+        for batch in batches:
+            g = K.Ragged(batch.column("_parts"))
+            for shape, *span in K.row_spans(g, grid.x0, grid.y0, grid.dx, grid.dy, grid.rows, grid.cols):
+                held = batch.select(names).take(pa.array(shape))
+                yield pa.RecordBatch.from_arrays([*held.columns, *[pa.array(v, pa.int32()) for v in span]], names=[*names, "row_idx", "c0", "c1"])
+
+    return z.mapInArrow(scan, schema)
+
+
 def zonal_pixels(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_key: str, values: list[str],
-                 keys: list[str] | None = None, tile: int = 16) -> DataFrame:
+                 keys: list[str] | None = None, tile: int = 32) -> DataFrame:
     """(zone, pixel values) for every pixel whose centre lies inside the zone polygon.
 
-    Zones are cut into the small tiles their box touches and joined to pixels on the tile; box bounds are
-    part of the join and only what is left reaches the exact test. A tile bounds its pixels; tiles
-    under very many zones are salted by zone.
+    Zones become row spans, cut into pieces of ``tile`` columns, which meet the pixels of their row and
+    piece; a piece bounds its pixels, and pieces under very many zones are salted by zone. No polygon goes
+    through the join.
     """
     keys = keys or []
-    z = zones.where(c("geometry").isNotNull()).select(*keys, zone_key, K.flat_parts("geometry.parts").alias("_flat"), *[
-        b.alias(n) for n, b in zip(("z_min_x", "z_min_y", "z_max_x", "z_max_y"), G.bounds(c("geometry")))])
-    span = lambda a, b, o, d, n: (F.greatest(F.floor(F.least((c(a) - o) / d, (c(b) - o) / d)), F.lit(0)),
-                                  F.least(F.floor(F.greatest((c(a) - o) / d, (c(b) - o) / d)), F.lit(n - 1)))
-    c0, c1 = span("z_min_x", "z_max_x", grid.x0, grid.dx, grid.cols)
-    r0, r1 = span("z_min_y", "z_max_y", grid.y0, grid.dy, grid.rows)
-    z = z.withColumns({"z_c0": c0, "z_c1": c1, "z_r0": r0, "z_r1": r1}).where("z_c0 <= z_c1 AND z_r0 <= z_r1")
-    z = (z.withColumn("tile_row", F.explode(F.sequence(F.floor(c("z_r0") / tile), F.floor(c("z_r1") / tile))))
-         .withColumn("tile_col", F.explode(F.sequence(F.floor(c("z_c0") / tile), F.floor(c("z_c1") / tile)))))
-    p = pixels.select(*keys, "row_idx", "col_idx", *values).withColumns(
-        {"tile_row": F.floor(c("row_idx") / tile), "tile_col": F.floor(c("col_idx") / tile)})
-    near = salted_join(z, p, [*keys, "tile_row", "tile_col"], left_id=zone_key).where(
-        c("col_idx").between(c("z_c0"), c("z_c1")) & c("row_idx").between(c("z_r0"), c("z_r1")))
-    inside = K.flat_contains("_flat", grid.center_x(c("col_idx")), grid.center_y(c("row_idx")))
-    return near.where(inside).select(*keys, zone_key, "row_idx", "col_idx", *values)
+    spans = zone_spans(zones, grid, zone_key, keys).withColumn(
+        "_piece", F.explode(F.sequence(F.floor(c("c0") / tile), F.floor(c("c1") / tile))))
+    p = pixels.select(*keys, "row_idx", "col_idx", *values).withColumn("_piece", F.floor(c("col_idx") / tile))
+    met = salted_join(spans, p, [*keys, "row_idx", "_piece"], left_id=zone_key).where(c("col_idx").between(c("c0"), c("c1")))
+    return met.select(*keys, zone_key, "row_idx", "col_idx", *values)
 
 
 def circular_mean(angle: str):
@@ -105,7 +115,7 @@ def circular_mean(angle: str):
 
 
 def terrain_statistics(zones: DataFrame, terrain: DataFrame, grid: Grid, zone_key: str,
-                       keys: list[str] | None = None, tile: int = 16) -> DataFrame:
+                       keys: list[str] | None = None, tile: int = 32) -> DataFrame:
     """Zones with mean elevation, mean and greatest slope and mean aspect; 0 where no pixel lies inside."""
     keys = keys or []
     hits = zonal_pixels(zones, terrain, grid, zone_key, ["elevation_m", "slope_deg", "aspect_deg"], keys, tile)
