@@ -42,6 +42,14 @@ def events_page(t):
                   "risk_event_id", 100, 50).select("risk_event_id", "risk_score", "created_at")
 
 
+@query(V, """SELECT risk_event_id, risk_score, created_at FROM stored_events WHERE dismissed_at IS NULL
+ORDER BY risk_score DESC, created_at DESC, risk_event_id LIMIT 500 OFFSET 20000""")
+def events_deep_page(t):
+    """A page far down the whole event list, found by the counts of ranges."""
+    return L.page(L.list_events(t.stored_events), [c("risk_score").desc(), c("created_at").desc()],
+                  "risk_event_id", 500, 20_000).select("risk_event_id", "risk_score", "created_at")
+
+
 @query(V, """SELECT risk_event_id, risk_level, dismissed_at FROM stored_events WHERE acknowledged_at IS NULL AND risk_level >= 2""")
 def unacknowledged_events(t):
     return L.unacknowledged(t.stored_events, 2).select("risk_event_id", "risk_level", "dismissed_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landwatch.operators import ranking
 from landwatch.schema import ASSET_TYPES, RISK_LEVELS, RUN_STATUSES, name_of
 
 c = F.col
@@ -33,9 +34,16 @@ def list_events(events: DataFrame, aoi_id=None, min_score=None, level=None, asse
     return events
 
 
-def page(df: DataFrame, order: list[Column], key: str, limit: int, offset: int = 0) -> DataFrame:
-    """One page in a repeatable order."""
-    df = df.orderBy(*order, c(key))
+def page(df: DataFrame, order: list[Column], key: str, limit: int, offset: int = 0, near: int = 10_000) -> DataFrame:
+    """One page in a repeatable order, ``key`` deciding between equals.
+
+    A page that ends within ``near`` rows is a top-k; a deeper one is found by the row counts of ranges,
+    so that no task sorts the rows before it.
+    """
+    order = [*order, c(key)]
+    if offset + limit > near:
+        return ranking.rows_between(df, order, offset + 1, offset + limit)
+    df = df.orderBy(*order)
     return (df.offset(offset) if offset else df).limit(limit)
 
 

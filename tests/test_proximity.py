@@ -76,7 +76,7 @@ def test_split_rank_equals_row_number(spark):
     rng = np.random.default_rng(2)
     rows = [(int(k), float(d), f"t{i}") for i, (k, d) in enumerate(zip(rng.integers(0, 3, 300), np.round(rng.uniform(0, 50, 300))))]
     df = spark.createDataFrame(rows, "k int, d double, t string")
-    got = {(r.k, r.t): r["rank"] for r in split_rank(df, ["k"], "d", 5.0, ["t"]).collect()}
+    got = {(r.k, r.t): r["rank"] for r in split_rank(df, ["k"], "d", ["t"], parts=7).collect()}
     for k in range(3):
         order = sorted((d, t) for kk, d, t in rows if kk == k)
         assert [got[(k, t)] for _, t in order] == list(range(1, len(order) + 1))
