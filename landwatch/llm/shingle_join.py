@@ -44,7 +44,9 @@ CROWD, PAIRS, ROWS = 2000, 1 << 19, 1 << 16
 #: Rows of a list that one task compares with as many others; parities of a set.
 CHUNK, PARITIES = 20_000, 256
 #: How far apart rows of a list stand that are compared before all others, and how often, so that large groups are components by then.
-STRIDES, ROUNDS = (1, 2, 3, 5, 8, 13), 1
+STRIDES, ROUNDS = (1, 2, 3, 5, 8, 13), 2
+#: Rows of a list from which it takes part in the rounds after the first; shorter lists have few pairs for each row anyway.
+LONG = 64
 #: Shingles of sets that a checking task keeps.
 HELD = 1_000_000
 c = F.col
@@ -427,10 +429,14 @@ def components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words
     alive = cut_lineage(entries.repartition(width, "key").sortWithinPartitions("key", "label").mapInArrow(_alive, INDEX))
     alive = cut_lineage(alive.join(nodes.select("node", "n", "bits"), "node"))
     root = cut_lineage(followed(parent, nodes))
-    for turn in range(ROUNDS):  # in another order each time
-        met = with_roots(alive, root).withColumn("_order", F.xxhash64("node", F.lit(turn))).repartition(width, "key").sortWithinPartitions("key", "blk", "_order")
+    long = cut_lineage(alive.groupBy("key").agg(F.count("*").alias("_n")).where(c("_n") > LONG))
+    for turn in range(ROUNDS):  # in another order each time, after the first only what long lists still hold apart
+        if turn and long.isEmpty():
+            break
+        rest = alive.join(long, "key", "left_semi") if turn else alive
+        met = with_roots(rest, root).withColumn("_order", F.xxhash64("node", F.lit(turn))).repartition(width, "key").sortWithinPartitions("key", "blk", "_order")
         root = merged(met.mapInArrow(lambda x: _steps(x, a, b), "x long, y long").distinct(), root, nodes, body, words, a, b)
-    met = in_chunks(with_roots(alive, root)).repartition(width, "key").sortWithinPartitions("key")
+    met = in_chunks(with_roots(alive, root), long).repartition(width, "key").sortWithinPartitions("key")
     root = merged(met.mapInArrow(lambda x: _lists(x, a, b), "x long, y long").distinct(), root, nodes, body, words, a, b)
     return named(rows, nodes, root, ident)
 
@@ -453,9 +459,12 @@ def with_roots(alive: DataFrame, root: DataFrame) -> DataFrame:
     return alive.join(moved, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def in_chunks(rows: DataFrame) -> DataFrame:
-    """Lists of more than ``CHUNK`` rows as pairs of their chunks, each a list of its own; rows of one side of a pair do not meet."""
-    most = rows.groupBy("key").agg(F.count("*").alias("_n")).where(c("_n") > CHUNK).select("key", F.ceil(c("_n") / CHUNK).cast("int").alias("_k"))
+def in_chunks(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """Lists of more than ``CHUNK`` rows as pairs of their chunks, each a list of its own; rows of one side of a pair do not meet.
+
+    ``long`` has the keys of lists with more than ``LONG`` rows and their counts.
+    """
+    most = long.where(c("_n") > CHUNK).select("key", F.ceil(c("_n") / CHUNK).cast("int").alias("_k"))
     cut = rows.join(most, "key", "left").withColumn("_own", F.when(c("_k").isNotNull(), F.pmod(F.xxhash64("node"), c("_k")).cast("int")))
     cut = cut.withColumn("_other", F.explode(F.when(c("_k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), c("_k") - 1))))
     dealt = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
