@@ -2,17 +2,20 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from landwatch.catalogue.catalog import CHECK, LOG, now, run_log
-from landwatch.catalogue.rasters import NEIGHBOR, REC, long_bands
+from landwatch.catalogue.rasters import NEIGHBOR, REC, grid, long_bands, terrain
 from landwatch.catalogue.registry import query
-from landwatch.catalogue.sqltext import LEVEL_NAME, SCORE
+from landwatch.catalogue.sqltext import CHANGE_TYPE, LEVEL_NAME, SCORE
 from landwatch.config import ProcessingConfig
 from landwatch.functions import geometry as G
 from landwatch.functions import projection as P
+from landwatch.operators import patches
 from landwatch.operators.ranking import first_by
 from landwatch.plans.change_to_risk import change_to_risk
+from landwatch.schema import LAND_COVER_CLASSES
 from landwatch.session import cut_lineage, shared_dir
 from landwatch.sources.fixtures import Tables
 from landwatch.streaming import jobs
@@ -21,7 +24,7 @@ c = F.col
 X0, Y0 = 610000.0, 4400000.0
 
 
-def flow(t):
+def flow(t, **models):
     """Rasters, elevation and assets of one area laid on a UTM grid of ten-metre pixels."""
     key = [F.lit("aoi-0").alias("aoi_id"), F.lit("run-0").alias("run_id")]
     bands = long_bands(t).where("band IN ('B04', 'B08') AND scene_id <> 's-odd'").select(
@@ -38,7 +41,7 @@ def flow(t):
     # Assets come as a written table, as in a store, not as an expression to be inlined everywhere.
     a = cut_lineage(a.select("asset_id", "aoi_id", "asset_type", "criticality", "geometry"))
     return change_to_risk(bands, rasters, a, dem,
-                          config=ProcessingConfig(min_area_m2=1000.0, max_distance_m=120.0, tile_size=64))
+                          config=ProcessingConfig(min_area_m2=1000.0, max_distance_m=120.0, tile_size=64), **models)
 
 
 # Regions as pixel squares; distance to a region is the least distance to its squares.
@@ -68,6 +71,66 @@ def flow_summary(t):
     return flow(t)["summary"].drop("aoi_id", "run_id")
 
 
+# --- the flow with models -----------------------------------------------------------------
+
+BANDS = ["red_after", "nir_after", "red_before", "nir_before"]
+MEANS, STDS = [1500.0] * 12 + [17.0, 400.0], [800.0] * 12 + [10.0, 40.0]
+
+
+def cover_scores():
+    """Stand-in for a trained network: ten class scores from the mean of the first channel."""
+    return lambda block: np.stack([-np.abs((block[:, 0].mean((1, 2)) * 10000 - 700) / 80 - k) for k in range(10)], 1)
+
+
+def slide_scores():
+    """Stand-in for a trained network: a score a pixel from twelve bands, slope and elevation."""
+    return lambda block: block[:, :12].mean(1) + block[:, 12] + block[:, 13]
+
+
+def channels(t):
+    """Pixels with fourteen channels: twelve bands (four, each at three offsets), slope and elevation."""
+    bands = [(c(BANDS[i % 4]) + 50 * i).alias(f"ch{i}") for i in range(12)]
+    p = t.pixels.select("row_idx", "col_idx", *bands, c("elevation_m").alias("ch13"))
+    return p.join(terrain(t).select("row_idx", "col_idx", c("slope_deg").alias("ch12")), ["row_idx", "col_idx"])
+
+
+def models(t):
+    """Hooks that cut patches around changes and run both models on them."""
+    g, pixels, names = grid(t), cut_lineage(channels(t)), [f"ch{i}" for i in range(14)]
+    places = lambda changes: changes.select("change_id", "slope_degree_mean", (c("c_col") * 10).alias("px"), (c("c_row") * -10).alias("py"))
+
+    def around(changes, size, values):
+        return patches.dense_patches(patches.patch_pixels(places(changes), pixels, g, "change_id", "px", "py", size, values), "change_id", size, values)
+
+    def land_cover(changes):
+        found = patches.classify_land_cover(around(changes, 8, ["ch0"]), "change_id", cover_scores, 8)
+        return found.select("change_id", c("dominant_class").alias("land_cover_class"))
+
+    def landslides(changes):
+        return patches.classify_landslides(changes, around(changes, 32, names), "change_id", slide_scores, MEANS, STDS, size=32)
+
+    return {"land_cover": land_cover, "landslides": landslides}
+
+
+AROUND = "{0} AS (SELECT component_id, {1} FROM sz CROSS JOIN (SELECT max(row_idx) + 1 AS h FROM pixels) JOIN pixels p ON p.row_idx >= cr - {2} AND p.row_idx < cr + {2} AND p.col_idx >= ck - {2} AND p.col_idx < ck + {2} {3})"
+SLIDE = "1 / (1 + exp(-((({0}) - 1500) / 800.0 + ({1} - 17) / 10.0 + ({2} - 400) / 40.0)))"
+MODELS = f"""{AROUND.format('cv', 'CAST(least(9, greatest(0, round((sum(red_after) / 64.0 - 700) / 80))) AS INT) AS cls', 4, 'GROUP BY 1')},
+lcv AS (SELECT component_id, {LAND_COVER_CLASSES!r}[cls + 1] AS land_cover_class FROM cv),
+{AROUND.format('sp', SLIDE.format('(red_after + nir_after + red_before + nir_before) / 4.0 + 275', 'slope_deg', 'p.elevation_m') + ' AS p', 16, 'JOIN ter USING (row_idx, col_idx)')},
+sv AS (SELECT component_id, (sum(p) + (1024 - count(*)) * {SLIDE.format('0', '0', '0')}) / 1024 > 0.35 AND count(*) FILTER (p > 0.5) / 1024.0 > 0.15 AS slide FROM sp GROUP BY 1),
+typ AS (SELECT component_id, land_cover_class, CASE WHEN slide AND zt.s >= 10 THEN 'LandslideDebris' ELSE {CHANGE_TYPE} END AS change_type FROM sz JOIN lcv USING (component_id) JOIN sv USING (component_id) JOIN zt USING (component_id)),
+pairs AS ("""
+FLOW_MODELS = FLOW.replace("\npairs AS (", "\n" + MODELS).replace("NULL::VARCHAR AS land_cover_class,\n 'VegetationLoss' AS change_type", "typ.land_cover_class,\n typ.change_type").replace(
+    "JOIN zt USING (component_id) JOIN ht", "JOIN zt USING (component_id) JOIN typ USING (component_id) JOIN ht")
+
+
+@query("pixels", FLOW_MODELS + """ SELECT component_id // 128 * 2147483648 + component_id % 128 AS component_id, asset_id, land_cover_class, change_type, risk_score, risk_level FROM scored""")
+def events_with_models(t):
+    """Risk events of the whole flow with a land-cover and a fourteen-channel landslide model run on patches around the changes."""
+    e = flow(t, **models(t))["risk_events"]
+    return e.select("component_id", "asset_id", "land_cover_class", "change_type", "risk_score", "risk_level")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 def streamed(t, table):

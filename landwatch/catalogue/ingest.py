@@ -168,6 +168,17 @@ def asset_collection(t):
     return spark.read.text(path).select(F.get_json_object("value", "$.id").alias("id")).agg(F.count("*").alias("features"), F.min("id").alias("first_id"))
 
 
+@query("assets", "SELECT asset_id, name, asset_type::VARCHAR AS asset_type, round(lon, 9) AS lon, round(lat, 9) AS lat FROM assets WHERE aoi_id = 'aoi-2'")
+def asset_collection_files(t):
+    """Assets of an area as collection files, each of them read back in blocks."""
+    spark = t.assets.sparkSession
+    path = f"{shared_dir(spark)}/asset-files-{uuid.uuid4().hex}"
+    J.write_collections(J.asset_features(t.assets.withColumn("geometry", G.point(c("lon"), c("lat"))), "aoi-2"), path)
+    got, spot = J.read_collection(spark, path), G.centroid(c("geometry"))
+    return got.select(c("feature_id").alias("asset_id"), c("properties")["name"].alias("name"), c("properties")["assetType"].alias("asset_type"),
+                      F.round(spot["x"], 9).alias("lon"), F.round(spot["y"], 9).alias("lat"))
+
+
 @query("stored_changes stored_runs", """SELECT ch.change_id, 'Polygon' AS kind, ch.area_sq_meters, CASE change_type WHEN 0 THEN 'Unknown' WHEN 1 THEN 'VegetationLoss' WHEN 2 THEN 'VegetationGain' ELSE 'LandslideDebris' END AS change_type_name
 FROM stored_changes ch JOIN stored_runs r ON ch.run_id = r.run_id WHERE r.aoi_id = 'aoi-3'""")
 def change_feature_export(t):

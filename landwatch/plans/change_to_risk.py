@@ -122,6 +122,8 @@ def change_to_risk(bands: DataFrame, rasters: DataFrame, assets: DataFrame, dem:
     """
     found = detect(bands, dem, rasters, keys, cell_m, config)
     changes = found["changes"]
+    if land_cover is not None or landslides is not None:
+        changes = cut_lineage(changes)  # patches are cut around them and the verdicts are joined to them
     if land_cover is not None:
         cover = land_cover(changes).groupBy("change_id").agg(F.min("land_cover_class").alias("land_cover_class"))  # one row a change
         changes = changes.drop("land_cover_class").join(cover, "change_id", "left")

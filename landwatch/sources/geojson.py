@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,21 +12,25 @@ from landwatch.functions import kernels as K
 from landwatch.functions import projection as P
 from landwatch.plans.executor import features
 from landwatch.schema import ASSET_TYPES, CHANGE_TYPES, CRITICALITIES, name_of
+from landwatch.sources.split_json import array_elements
 
 c = F.col
 FEATURE = "struct<type:string,id:string,geometry:string,properties:map<string,string>>"
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Features of collection files with their position; a missing path gives an empty frame."""
+    """Features of collection files with their position in the file; one large file is read by many tasks.
+
+    A missing path gives an empty frame.
+    """
     empty = spark.createDataFrame([], f"seq bigint, feature {FEATURE}")
     try:
-        raw = spark.read.schema(f"features array<{FEATURE}>").json(path, multiLine=True)
+        texts = array_elements(spark, path, "features")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return feature_rows(empty, c("feature"), "seq")
-    return feature_rows(raw.select(F.posexplode("features").alias("seq", "feature")), c("feature"), "seq")
+    return feature_rows(texts.select("seq", F.from_json("text", FEATURE).alias("feature")), c("feature"), "seq")
 
 
 def parse_features(df: DataFrame, text: str, seq: str) -> DataFrame:
@@ -98,6 +103,20 @@ def write_features(df: DataFrame, path: str) -> None:
     df.select(c("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collections(df: DataFrame, path: str) -> None:
+    """Features as valid collection files, one a partition, each streamed with its frame around it."""
+    def framed(batches):
+        lead = '{"type":"FeatureCollection","features":['
+        for batch in batches:
+            rows = batch["value"].to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [lead + rows[0], *["," + r for r in rows[1:]]]})
+                lead = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]}" if lead == "," else lead + "]}"]})
+
+    df.select(c("feature").alias("value")).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
 def submission(changes: DataFrame) -> DataFrame:
     """Detected changes as camel-case records with the type as a code, unknown names as 0."""
     from landwatch.schema import code_of

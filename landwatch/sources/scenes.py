@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landwatch.operators.ranking import first_by
 from landwatch.schema import SCENE_BANDS
+from landwatch.sources.split_json import array_elements
 
 c = F.col
 ITEM = ("struct<id:string,bbox:array<double>,properties:struct<datetime:string,`eo:cloud_cover`:double,platform:string,"
@@ -16,9 +17,8 @@ ITEM = ("struct<id:string,bbox:array<double>,properties:struct<datetime:string,`
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Scene rows of item-collection JSON files."""
-    raw = spark.read.schema(f"features array<{ITEM}>").json(path, multiLine=True)
-    return item_rows(raw.select(F.explode("features").alias("item")), c("item"))
+    """Scene rows of item-collection JSON files; one large file is read by many tasks."""
+    return parse_items(array_elements(spark, path, "features"), "text")
 
 
 def parse_items(df: DataFrame, text: str) -> DataFrame:
