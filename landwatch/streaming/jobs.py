@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from landwatch.operators.checks import latest_completed, since_date
 from landwatch.operators.lists import ALERT_LEVELS, alert_rows
-from landwatch.operators.state import run_state
+from landwatch.streaming.run_fold import RUN_STATE, RunFold, thinned
 
 c = F.col
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -55,23 +56,27 @@ def alert_job(events: DataFrame, sink: str, checkpoint: str, minimum: dict[str,
     return _start(alert_rows(fresh, minimum or ALERT_LEVELS), sink, checkpoint)
 
 
-def run_state_job(log: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def run_state_job(log: DataFrame, sink: str, checkpoint: str, keep_ms: int | None = None) -> StreamingQuery:
     """Status-log stream (run_id, at, seq, status, before_scene_id) to the current state of each run.
 
-    A batch adds its rows to the log under the sink and folds the whole log of the runs that it touches, with the
-    same aggregates as a table, so rows may come in any order and no run is gathered in one place.
+    A batch reads its own rows and the keyed state of the runs it touches, never the log. Rows may come in any order and
+    none is lost for being late: what is kept of a run (see ``run_fold.needed``) is all that any later row can
+    make matter. Tasks drop needless rows before the shuffle, so a hot run sends a few rows a batch. ``keep_ms``, if
+    given, forgets a run that was silent for so long; the default forgets nothing.
     """
-    rows = log.select("run_id", c("at").cast("timestamp").alias("at"), c("seq").cast("bigint"), "status", "before_scene_id")
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/log/batch={number}")
-        known = batch.sparkSession.read.parquet(f"{sink}/log").where(c("batch") <= number).drop("batch")
-        touched = known.join(batch.select("run_id").distinct(), "run_id", "left_semi")
-        state = run_state(touched, ["at", "seq"], F.date_trunc("day", c("at")))
-        state.write.mode("overwrite").parquet(f"{sink}/state/batch={number}")
-
-    return (rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(save).start())
+    rows = log.select("run_id", F.unix_micros(c("at").cast("timestamp")).alias("at"), c("seq").cast("bigint").alias("seq"),
+                      c("status").cast("int").alias("status"), "before_scene_id")
+    folded = (rows.mapInPandas(thinned, rows.schema).groupBy("run_id")
+              .transformWithStateInPandas(RunFold(keep_ms), RUN_STATE, "update", "ProcessingTime" if keep_ms else "None"))
+    moment = lambda k: F.timestamp_micros(c(k)).alias(k)
+    states = folded.select("run_id", "status", moment("started_at"), moment("completed_at"), "before_scene_id")
+    conf, key = log.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, STATE_STORE)
+    try:  # the query keeps the provider that it starts with
+        return _start(states, f"{sink}/state", checkpoint, "update")
+    finally:
+        conf.set(key, before)
 
 
 def newest_state(written: DataFrame) -> DataFrame:
