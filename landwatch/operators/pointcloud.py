@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from landwatch.operators.skew import salted_join
+from landwatch.operators.skew import key_salts, salted_join
 
 c = F.col
 GROUND = 2  # fixed value: class code of ground returns
@@ -98,10 +101,120 @@ def polygon_points(boxes: DataFrame, points: DataFrame, key: str, cell: float) -
     return salted_join(b, p.withColumn("_pid", F.xxhash64(*points.columns)), ["_gx", "_gy"], key, "_pid").drop("_pid").where(inside).drop("_gx", "_gy", "min_x", "min_y", "max_x", "max_y")
 
 
-def polygon_products(boxes: DataFrame, points: DataFrame, key: str, pad: float, resolution: float = 1.0, cell: float = 10.0) -> DataFrame:
-    """Terrain, surface and height cells of every box widened by ``pad``, with the box id in the key."""
-    wide = boxes.withColumns({"min_x": c("min_x") - pad, "min_y": c("min_y") - pad, "max_x": c("max_x") + pad, "max_y": c("max_y") + pad})
-    return products(polygon_points(wide, points, key, cell), [key], resolution)
+SUMS = ("sum_w", "sum_wz", "n_wz", "exact", "dsm")
+
+
+def cut_sums(x: np.ndarray, y: np.ndarray, z: np.ndarray, ground: np.ndarray, first: np.ndarray, cuts: np.ndarray,
+             resolution: float, radius: float, power: float, most: int = 1 << 21) -> tuple[np.ndarray, ...]:
+    """What the points of one square give to the cells around it, for every cut (least x, y, greatest x, y) of the square.
+
+    Returns the cells' (row, column) and arrays (cut, cell) of the sums of weights, of weighted heights and their number, the least
+    height on a centre and the greatest of first returns. An absent height is masked in ``z``; a matrix of cuts and points
+    has at most about ``most`` entries.
+    """
+    known, z = ~np.ma.getmaskarray(z), np.ma.getdata(z)
+    k = math.ceil(radius / resolution + 0.5) - 1
+    base_c, base_r = math.floor(x[0] / resolution), math.floor(y[0] / resolution)
+    cells = [(base_r + dr, base_c + dc) for dr in range(-k, k + 1) for dc in range(-k, k + 1)]
+    d = np.stack([np.hypot(x - (col + 0.5) * resolution, y - (row + 0.5) * resolution) for row, col in cells], 1)
+    near = d < radius
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(ground[:, None] & near & (d > 0), 1.0 / np.power(d, power), 0.0)
+    used = (w > 0) & known[:, None]
+    wild = np.flatnonzero(known & ~np.isfinite(z))  # their products would spread over all cuts
+    wz = np.where(used & np.isfinite(z)[:, None], w * np.where(np.isfinite(z), z, 0.0)[:, None], 0.0)
+    table = np.concatenate([w, wz, used.astype(float)], 1)
+    on = [np.flatnonzero(ground & known & (d[:, i] == 0) & near[:, i]) for i in range(len(cells))]
+    top = np.flatnonzero(first & known & near.any(1))
+    top = top[np.lexsort((-np.nan_to_num(z[top], nan=0.0), ~np.isnan(z[top])))]  # NaN is the greatest
+    out = [np.zeros((len(cuts), len(cells))) for _ in range(3)] + [np.full((len(cuts), len(cells)), np.inf), np.full((len(cuts), len(cells)), -np.inf)]
+    has = [np.zeros((len(cuts), len(cells)), bool) for _ in range(2)]
+    step = max(1, most // max(1, len(x)))
+    for lo in range(0, len(cuts), step):
+        part = slice(lo, lo + step)
+        x0, y0, x1, y1 = (v[:, None] for v in cuts[part].T)
+        held = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+        sums = held.astype(float) @ table
+        for to, values in zip(out, np.split(sums, 3, axis=1)):
+            to[part] = values
+        for p in wild:
+            out[1][part] += np.where(held[:, p, None] & used[p], np.where(used[p], w[p], 1.0) * z[p], 0.0)
+        for i, points in enumerate(on):
+            if len(points):
+                inside = held[:, points]
+                has[0][part, i] = inside.any(1)
+                out[3][part, i] = np.fmin.reduce(np.where(inside, z[points], np.inf), axis=1)
+        best, found, at, width = out[4][part], has[1][part], 0, 64
+        left = np.arange(len(held))
+        while at < len(top) and len(left):  # from the highest point down, until every cell has met one
+            points = top[at:at + width]
+            inside = held[np.ix_(left, points)]
+            for i in range(len(cells)):
+                hit = inside & near[points, i]
+                new = hit.any(1) & ~found[left, i]
+                best[left[new], i] = z[points[hit[new].argmax(1)]]
+                found[left[new], i] = True
+            at, width = at + width, min(4096, width * 4)
+            left = left[~found[left].all(1)]
+    return cells, *out[:3], np.ma.array(out[3], mask=~has[0]), np.ma.array(out[4], mask=~has[1])
+
+
+def _square_sums(points: DataFrame, cuts: DataFrame, resolution: float, radius: float, power: float, rows: int) -> DataFrame:
+    """Sums of ``cut_sums`` for every square (_gx, _gy) of points and every cut of it: a task holds ``rows`` points of a square."""
+    square, bounds = ["_gx", "_gy"], ["_x0", "_y0", "_x1", "_y1"]
+    schema = T.StructType([*[T.StructField(k, T.LongType()) for k in square], *[T.StructField(k, T.DoubleType()) for k in bounds],
+                           *[T.StructField(k, T.LongType()) for k in ("cell_row", "cell_col")], *[T.StructField(k, T.DoubleType()) for k in SUMS]])
+
+    def combine(p: pa.Table, q: pa.Table) -> pa.Table:
+        if not p.num_rows or not q.num_rows:
+            return schema_table.slice(0, 0)
+        get = lambda t, k: t[k].combine_chunks().to_numpy(zero_copy_only=False)
+        z = np.ma.array(get(p.set_column(p.column_names.index("z"), "z", p["z"].fill_null(0.0)), "z"), mask=get(p.append_column("_no", p["z"].is_null()), "_no"))
+        cut = np.stack([get(q, k) for k in bounds], 1)
+        cells, *sums = cut_sums(get(p, "x"), get(p, "y"), z, get(p, "_ground"), get(p, "_first"), cut, resolution, radius, power)
+        any_ = (sums[0] > 0) | ~np.ma.getmaskarray(sums[3]) | ~np.ma.getmaskarray(sums[4])
+        i, j = np.nonzero(any_)
+        where = np.array(cells, np.int64)[j]
+        columns = [*[pa.array(np.full(len(i), q[k][0].as_py(), np.int64)) for k in square], *[pa.array(cut[i, n]) for n in range(4)],
+                   pa.array(where[:, 0]), pa.array(where[:, 1]),
+                   *[pa.array(np.ma.getdata(v)[i, j], mask=np.ma.getmaskarray(v)[i, j]) for v in sums]]
+        return pa.table(dict(zip(schema.names, columns)))
+
+    schema_table = pa.table({f.name: pa.array([], pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64()) for f in schema})
+    salts = key_salts(points, square, rows)
+    n = F.coalesce("_n", F.lit(1))
+    p = points.join(salts, square, "left").withColumn("_salt", F.pmod(F.xxhash64(*points.columns), n).cast("int")).drop("_n")
+    q = cuts.join(salts, square, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    by = [*square, "_salt"]
+    return p.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(combine, schema)
+
+
+def polygon_products(boxes: DataFrame, points: DataFrame, key: str, pad: float, resolution: float = 1.0, rows: int = 50_000) -> DataFrame:
+    """Terrain, surface and height cells of every box widened by ``pad``, with the box id in the key.
+
+    No (box, point) pair is listed. A box is cut into squares of the grid; what a square's points give to the cells around
+    is summed once for each way in which boxes cut it (a square wholly inside has one), and a box adds up its squares' sums.
+    Squares with over ``rows`` points are summed in parts.
+    """
+    edge = lambda k, sign: c(k) + sign * pad
+    b = boxes.select(key, edge("min_x", -1).alias("_x0"), edge("min_y", -1).alias("_y0"), edge("max_x", 1).alias("_x1"), edge("max_y", 1).alias("_y1"))
+    b = b.where((c("_x0") <= c("_x1")) & (c("_y0") <= c("_y1")))
+    at = lambda k: F.floor(c(k) / resolution)
+    b = b.withColumn("_gx", F.explode(F.sequence(at("_x0"), at("_x1")))).withColumn("_gy", F.explode(F.sequence(at("_y0"), at("_y1"))))
+    inf = float("inf")
+    b = b.withColumns({"_x0": F.when(c("_gx") == at("_x0"), c("_x0")).otherwise(-inf), "_x1": F.when(c("_gx") == at("_x1"), c("_x1")).otherwise(inf),
+                       "_y0": F.when(c("_gy") == at("_y0"), c("_y0")).otherwise(-inf), "_y1": F.when(c("_gy") == at("_y1"), c("_y1")).otherwise(inf)})
+    cut = ["_gx", "_gy", "_x0", "_y0", "_x1", "_y1"]
+    ground, first = (F.coalesce(t, F.lit(False)) for t in (c("classification") == GROUND, c("return_number") == 1))
+    p = points.where(c("x").isNotNull() & c("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & (ground | first)).select(
+        F.floor(c("x") / resolution).alias("_gx"), F.floor(c("y") / resolution).alias("_gy"), "x", "y", "z", ground.alias("_ground"), first.alias("_first"))
+    sums = _square_sums(p, b.select(*cut).distinct(), resolution, resolution * math.sqrt(2), 1.0, rows)
+    total = b.join(sums, cut).groupBy(key, "cell_row", "cell_col").agg(
+        *[F.sum(k).alias(k) for k in SUMS[:3]], F.min("exact").alias("exact"), F.max("dsm").alias("dsm"))
+    dtm = F.coalesce("exact", F.when(c("n_wz") > 0, c("sum_wz") / c("sum_w")))
+    h = c("dsm") - c("dtm")
+    return (total.withColumn("dtm", dtm).where(c("dtm").isNotNull()).withColumn("chm", F.when(h < 0, F.lit(0.0)).otherwise(h))
+            .select(key, "cell_row", "cell_col", "dtm", "dsm", "chm"))
 
 
 def surface_sample(raster: DataFrame, keys: list[str], value: str, most: int, nodata: float = -9999.0) -> DataFrame:
