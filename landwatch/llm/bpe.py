@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,20 +71,22 @@ class PairTable:
         return out
 
 
-class Ranks:
-    """A vocabulary of byte strings by rank, with its pairs and its bytes end to end."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Byte strings of a rank file and their ranks."""
+    ranks = {}
+    with open(path, "rb") as lines:
+        for line in lines:
+            if line.strip():
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
+    return ranks
+
+
+class Entries:
+    """The byte strings of a vocabulary end to end, by rank: all that decoding reads."""
 
     def __init__(self, path: str) -> None:
-        ranks = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    ranks[base64.b64decode(token)] = int(rank)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        trio = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.pairs = PairTable(*np.array(trio, np.int64).reshape(-1, 3).T)
-        self.lookup = {(a, b): r for a, b, r in trio}
+        ranks = read_ranks(path)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
@@ -91,6 +94,22 @@ class Ranks:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.raw = np.frombuffer(b"".join(tokens), np.uint8)
 
+
+class Ranks:
+    """A vocabulary of byte strings by rank, with its pairs as plain arrays."""
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        found = (v for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for v in (ranks[t[:k]], ranks[t[k:]], r))
+        self.trio = np.fromiter(found, np.int32).reshape(-1, 3)
+        self.pairs = PairTable(*self.trio.astype(np.int64).T)
+
+    @cached_property
+    def lookup(self) -> dict[tuple[int, int], int]:
+        """Rank of a pair; made for the first long piece only, as it takes many times the arrays' memory."""
+        return {(a, b): r for a, b, r in self.trio.tolist()}
+
     def encode_matrix(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Merge the rows of a padded matrix of single-byte ids in place of the first ``counts`` entries; returns the new counts."""
         rows, width = ids.shape
@@ -257,7 +276,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", keep: Sequence[str]
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField(decoded, T.BinaryType())])
 
     def run(batches):
-        ranks = Ranks(vocabulary)
+        ranks = Entries(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
