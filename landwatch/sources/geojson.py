@@ -45,10 +45,9 @@ def feature_rows(df: DataFrame, feature: Column, seq: str) -> DataFrame:
 
 def check_geometry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a geometry inside degree limits, the others with an error)."""
-    box = G.bounds(c("geometry"))
-    error = (F.when(c("geometry").isNull(), "Invalid GeoJSON geometry")
-             .when(~G.in_degrees(*box), "Coordinates outside WGS84 range"))
-    marked = df.withColumn("error", error)
+    error = lambda g: F.when(g.isNull(), "Invalid GeoJSON geometry").when(
+        ~G.bound(F.array(*G.bounds(g)), lambda b: G.in_degrees(*[b[i] for i in range(4)])), "Coordinates outside WGS84 range")
+    marked = df.withColumn("error", G.bound(c("geometry"), error))
     return marked.where(c("error").isNull()).drop("error"), marked.where(c("error").isNotNull())
 
 
