@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +245,51 @@ def score_pairs(pairs: DataFrame, overrides: dict[str, Any] | None = None) -> Da
     return df.withColumn("factors", factors).select(*keep, c("_t2").alias("base_score"), "risk_score", "risk_level", "factors")
 
 
+def score_classes(changes: DataFrame, overrides: dict[str, Any] | None = None) -> DataFrame:
+    """Changes whose scored columns are values that stand for all of their class: score and level of a pair stay as they are, its texts do not.
+
+    Adds _kind, what a height difference can alter: twice the slope points, and one more for a landslide steep enough to count.
+    """
+    config, c = scoring_config(overrides), F.col
+    slope, aspect, turn = c("slope_degree_mean"), c("aspect_degrees"), F.pmod(c("aspect_degrees"), F.lit(360.0))
+    gate = float(config["landslide"]["min_slope_deg"])
+    grades = sorted({gate, *(float(r["slope_deg"]) for r in config["slope"]["thresholds"])})
+    turns = sorted({0.0, *(float(r[k]) for r in config["aspect"]["ranges"] for k in ("min_deg", "max_deg") if 0 <= float(r[k]) < 360)})
+    slide = F.coalesce(c("change_type") == LANDSLIDE, F.lit(False))
+    base = F.coalesce(slope_points(slope, config)[0], F.lit(0))
+    steep = F.coalesce(slope, F.lit(0.0)) >= gate
+    return changes.withColumns({
+        "_kind": F.when(slope.isNull(), 0).otherwise(base * 2).cast("long") + (slide & steep).cast("long"),
+        "ndvi_drop_mean": _first(config["ndvi_drop"]["thresholds"], lambda r: c("ndvi_drop_mean") <= float(r["delta"]), lambda r: float(r["delta"]), None).cast("double"),
+        "area_sq_meters": _first(config["area"]["thresholds"], lambda r: c("area_sq_meters") >= float(r["area_m2"]), lambda r: float(r["area_m2"]), None).cast("double"),
+        "slope_degree_mean": F.when(slope.isNotNull(), _first(grades[::-1], lambda g: slope >= g, lambda g: g, grades[0] - 1.0)),
+        "aspect_degrees": F.when(F.isnan(aspect), aspect).when(aspect.isNotNull(), _first(turns[::-1], lambda g: turn >= g, lambda g: g, 0.0)),
+        "land_cover_class": F.when(c("land_cover_class").isin(list(config["land_cover"]["multipliers"])), c("land_cover_class")),
+        "change_type": F.when(slide, F.lit(LANDSLIDE)),
+    })
+
+
+def rise_steps(overrides: dict[str, Any] | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whole numbers that tell height differences apart as far as the score of a change of some _kind does; ``slope_modifier`` in numpy, same operations.
+
+    Slope points are monotone in the difference within each of its ranges, so differences between two of one number have that number.
+    """
+    d = scoring_config(overrides)["directional_slope"]
+    up = float(d["upslope_multiplier_max"]) - float(d["upslope_multiplier_base"])
+    down = float(d["downslope_multiplier_base"]) - float(d["downslope_multiplier_min"])
+
+    def steps(diff: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        base = kind >> 1
+        high, low = diff > float(d["upslope_threshold_m"]), diff < float(d["downslope_threshold_m"])
+        raised = float(d["upslope_multiplier_base"]) + np.minimum(up, up * diff / float(d["upslope_elev_scale"]))
+        lowered = float(d["downslope_multiplier_base"]) - np.minimum(down, down * np.abs(diff) / float(d["downslope_elev_scale"]))
+        points = np.clip(np.minimum(int(d["max_points"]), np.trunc(base * np.where(high, raised, np.where(low, lowered, 1.0)))), -(1 << 20), 1 << 20).astype(np.int64)
+        part = np.where(base != 0, high + 2 * low, 0)
+        return (points + (1 << 20)) * 8 + part * 2 + (kind & 1) * (diff > UPSLOPE_M)
+
+    return steps
+
+
 def scoring_document(score: Column, level: Column, factors: Column) -> Column:
     """Score, level and factors as one JSON text."""
     return F.to_json(F.struct(score.alias("total_score"), level.alias("risk_level"), factors.alias("factors")))

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from landwatch.operators import proximity as X
 from landwatch.operators import reach as R
+from landwatch.operators import scoring as S
 from landwatch.schema import GEOMETRY_DDL
 from tests.test_proximity import box
 
@@ -36,6 +38,18 @@ def test_nearest_in_reach_equals_the_listed_pairs(spark, rows):
     assert plain(R.nearest_in_reach(ch, a, 500.0, within=["aoi_id"], cell_rows=rows)) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("rows", [50_000, 7])
+def test_scores_of_classes_equal_those_of_pairs(spark, rows):
+    ch, a = tables(spark)
+    total = lambda df, n: sorted((r.aoi_id, r.risk_score, r.risk_level, r.n) for r in df.groupBy("aoi_id", "risk_score", "risk_level").agg(n.alias("n")).collect())
+    want = total(S.score_pairs(S.with_criticality_name(X.directional(X.distance_join(ch, a, 500.0, within=["aoi_id"])))), F.count("*"))
+    height = lambda name, most: F.when(F.isnan(name), F.lit(most)).otherwise(F.col(name)).alias("_height")
+    traits = ["aoi_id", "area_sq_meters", "ndvi_drop_mean", "slope_degree_mean", "aspect_degrees", "land_cover_class", "change_type"]
+    classes = R.pair_classes(S.score_classes(ch).withColumn("_height", height("change_elevation_m", 1e300)), a.withColumn("_height", height("asset_elevation_m", -1e300)),
+                             500.0, [100.0, 500.0, 1000.0], S.rise_steps(), traits, ["criticality"], within=["aoi_id"], cell_rows=rows)
+    assert total(S.score_pairs(S.with_criticality_name(classes)), F.sum("pairs")) == want and len(want) > 20
+
+
 def test_dense_places_measure_few_pairs(spark, monkeypatch):
     """Counting 4 000 assets around 400 changes measures far fewer than their 1.6 million pairs; the old form listed them all."""
     rng = np.random.default_rng(4)
