@@ -275,7 +275,9 @@ def region_polygons(labelled: DataFrame, keys: list[str], grid: Grid | None, til
         return (table.slice(0, 1).select(same).append_column("geometry", pa.array([{"type": "Polygon", "parts": [part]}], shape))
                 .append_column("pixels", pa.array([pa.compute.sum(table["pixels"]).as_py()], pa.int64())))
 
-    return body.groupBy(*same).applyInArrow(polygon, schema)
+    # A region is little data but a call of its own: partitions of a fixed number are not merged into one task for their few bytes.
+    width = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return body.repartition(width, *same).groupBy(*same).applyInArrow(polygon, schema)
 
 
 def region_statistics(labelled: DataFrame, keys: list[str]) -> DataFrame:

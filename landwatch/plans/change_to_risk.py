@@ -94,6 +94,10 @@ def detect(bands: DataFrame, dem: DataFrame | None, rasters: DataFrame, keys: li
 def score(changes: DataFrame, assets: DataFrame, dem: DataFrame | None, rasters: DataFrame, keys: list[str],
           max_distance_m: float, overrides: dict[str, Any] | None = None) -> DataFrame:
     """Risk events of changes and the assets of their area within the search distance."""
+    if dem is not None:  # one row a change, so the pairs need not be shuffled for it
+        heights = dem.select(*keys, c("row_idx").alias("_r"), c("col_idx").alias("_c"), c("elevation_m").alias("change_elevation_m"))
+        at = changes.withColumns({"_r": F.floor("c_row").cast("int"), "_c": F.floor("c_col").cast("int")})
+        changes = at.join(heights, [*keys, "_r", "_c"], "left").drop("_r", "_c")
     area = [k for k in keys if k in assets.columns]
     names = [k for k in assets.columns if k not in area]
     clash = {k: f"asset_{k}" for k in names if k in changes.columns and k not in ("geometry", "asset_id")}
@@ -102,10 +106,7 @@ def score(changes: DataFrame, assets: DataFrame, dem: DataFrame | None, rasters:
     if dem is None:
         pairs = pairs.withColumns({"elevation_diff_m": F.lit(None).cast("double"), "is_upslope": F.lit(None).cast("boolean")})
     else:
-        heights = dem.select(*keys, c("row_idx").alias("_r"), c("col_idx").alias("_c"), c("elevation_m").alias("change_elevation_m"))
-        at = pairs.withColumns({"_r": F.floor("c_row").cast("int"), "_c": F.floor("c_col").cast("int")})
-        pairs = at.join(heights, [*keys, "_r", "_c"], "left").join(asset_elevation(
-            assets, dem, rasters, keys, pairs.select(*keys, "asset_id").distinct()), [*keys, "asset_id"], "left")
+        pairs = pairs.join(asset_elevation(assets, dem, rasters, keys, pairs.select(*keys, "asset_id").distinct()), [*keys, "asset_id"], "left")
         pairs = proximity.directional(pairs)
     scored = scoring.score_pairs(scoring.with_criticality_name(pairs), overrides)
     return scored.withColumn("risk_event_id", F.left(F.sha2(F.concat_ws("|", "change_id", "asset_id"), 256), F.lit(32)))

@@ -107,3 +107,12 @@ def test_small_regions_drop_and_statistics_follow(spark):
 def test_ground_area_of_a_known_box(spark):
     df = spark.range(1).select(G.box(F.lit(-121.60), F.lit(39.75), F.lit(-121.59), F.lit(39.76)).alias("geometry"))
     assert abs(R.ground_area(df).collect()[0].area_sq_meters - 951000) < 2500
+
+
+def test_polygons_are_dealt_over_all_partitions(spark):
+    """Many small regions are few bytes; merged by size they were one task."""
+    mask = np.zeros((40, 40), int)
+    mask[::2, ::2] = 1
+    made = R.region_polygons(R.label_regions(pixels(spark, mask), ["scene"], tile=8), ["scene"], None, tile=8)
+    assert made.count() == 400
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
