@@ -7,7 +7,8 @@ distributions differ by the sum of floor((p - q)^2 / (p + q)).
 The kept terms are sorted over all partitions and numbered. The commonest ``HEAD`` of them form a minimal acyclic transducer,
 built from the sorted terms with one root a language: equal endings are one state, and the outputs along a term add up to its
 place in the order. Every text runs through it in a second scan, which counts places, not strings. Kept terms beyond the
-transducer's bound are counted from the words it refuses and found by a join. Numbers break ties, as their order is the
+transducer's bound are counted from the words it refuses and found by a join; a filter over their hashes thins those words in
+the scan, and never drops a kept term. Numbers break ties, as their order is the
 terms' own.
 
 The matrix of pairs is summed over blocks of numbers: a task holds one block, sources by terms.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landwatch.llm import filters
 from landwatch.llm.batches import STEP, flat, slices
 from landwatch.llm.counting import Tally, commonest
 from landwatch.llm.hashing import LOWER, U, mix, prefix_sums, ragged, span_hashes
@@ -184,6 +186,17 @@ def lang_hashes(names: pa.Array) -> np.ndarray:
     return span_hashes(prefix_sums(raw), offsets[:-1], offsets[1:])
 
 
+def term_hashes(terms: DataFrame) -> DataFrame:
+    """``hash`` of every term, the same as that of a word in a scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = flat(batch.column("term"))
+            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix_sums(raw), offsets[:-1], offsets[1:]).view(np.int64))], names=["hash"])
+
+    return terms.select("term").mapInArrow(run, "hash long")
+
+
 def numbered(kept: DataFrame) -> DataFrame:
     """``lang, term, n, ordinal``: the place of every row in the order of language and term, by a range sort and the counts of its partitions."""
     spark = kept.sparkSession
@@ -212,11 +225,11 @@ def recount(docs: DataFrame, kept: DataFrame, most: int = HEAD) -> DataFrame:
     made, ordinals = compiled(kept.where(top))
     rest = kept.where(~top)
     refused = not rest.isEmpty()
-    shared = docs.sparkSession.sparkContext.broadcast((made, ordinals))
+    shared = docs.sparkSession.sparkContext.broadcast((made, ordinals, filters.build(term_hashes(rest), "hash") if refused else None))
     names = ["lang", "source", "ordinal", "term", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, places = shared.value
+        transducer, places, mask = shared.value
         known, other = Tally(), Tally()
 
         def shaped(full, column):
@@ -242,11 +255,14 @@ def recount(docs: DataFrame, kept: DataFrame, most: int = HEAD) -> DataFrame:
                     if x in places:
                         own = hit[lang[doc[hit]] == i]
                         found[own] = places[x][place[own]]
-                sides = [(known, hit, found.view(U), "ordinal")]
+                sides = [(known, hit, found[hit].view(U), "ordinal")]
                 if refused:
-                    sides.append((other, np.flatnonzero(place < 0), span_hashes(prefix_sums(raw), starts, ends), "term"))
+                    late = np.flatnonzero(place < 0)
+                    value = span_hashes(prefix_sums(raw), starts[late], ends[late])
+                    likely = filters.held(mask, value)
+                    sides.append((other, late[likely], value[likely], "term"))
                 for tally, rows, value, column in sides:
-                    key, first, n = np.unique(mix(group[doc[rows]] ^ mix(value[rows])), return_index=True, return_counts=True)
+                    key, first, n = np.unique(mix(group[doc[rows]] ^ mix(value)), return_index=True, return_counts=True)
                     pick = rows[first]
                     at = doc[pick]
                     told = pa.array(found[pick]) if column == "ordinal" else texts_of(raw, starts[pick], ends[pick])

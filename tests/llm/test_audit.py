@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -192,3 +193,17 @@ def test_queries_of_the_round_return_every_document(spark):
     assert queries.queries()["op12_simhash"](spark, folder).count() == n
     found = queries.queries()["op13_alignment"](spark, folder)
     assert found.count() == n and found.where(F.col("n_links") != F.col("n_a") + F.col("n_b") - F.col("n_groups")).count() == 0
+
+
+def test_a_filter_of_terms_holds_them_and_few_others(spark):
+    """Words that no language keeps mostly stay in the scan; a kept one never does. Before, every refused word left it."""
+    from landwatch.llm import filters
+    from landwatch.llm.batches import flat
+    from landwatch.llm.hashing import LOWER, prefix_sums, span_hashes
+    kept, other = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}ä" for i in range(300)], [f"anders{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    mask = filters.build(divergence.term_hashes(spark.createDataFrame([(t,) for t in kept], "term string")), "hash")
+    raw, offsets = flat(pa.array([" ".join(kept).upper().replace("Ä", "ä"), " ".join(other)]))
+    raw = LOWER[raw]
+    starts, ends, doc = divergence.term_spans(raw, offsets)
+    held = filters.held(mask, span_hashes(prefix_sums(raw), starts, ends))
+    assert held[doc == 0].all() and held[doc == 1].sum() < 10
