@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.llm import filters
-from landwatch.llm.batches import flat, slices, strings, unused
+from landwatch.llm.batches import STEP, flat, slices, strings, unused
 from landwatch.llm.hashing import LOWER, U, prefix_sums, span_hashes, word_hashes
 from landwatch.session import cut_lineage
 
@@ -192,7 +192,7 @@ def term_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text: str =
         mask, copies = shared.value
         sums: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", STEP // 4):  # its arrays take many bytes a character
                 raw, offsets = flat(part.column("_text"))
                 word, counts = word_hashes(LOWER[raw], offsets)
                 hit = filters.held(mask, word)
