@@ -80,6 +80,7 @@ def zone_spans(zones: DataFrame, grid: Grid, zone_key: str, keys: list[str] | No
     """
     names = [*(keys or []), zone_key]
     z = zones.where(c("geometry").isNotNull()).select(*names, c("geometry.parts").alias("_parts"))
+    z = z.repartition(z.sparkSession.sparkContext.defaultParallelism, *names)  # few bytes, but many spans a zone
     schema = T.StructType([*[zones.schema[k] for k in names], *[T.StructField(k, T.IntegerType()) for k in ("row_idx", "c0", "c1")]])
 
     def scan(batches):

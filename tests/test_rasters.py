@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landwatch.functions import change as C
+from landwatch.functions import geometry as G
 from landwatch.operators import raster as R
 from landwatch.operators import terrain as T
 
@@ -115,3 +116,19 @@ def test_rasters_are_written_under_their_keys(spark, tmp_path):
     d = spark.createDataFrame([("r1", 0, 0, -0.5, 1)], "run_id string, row_idx int, col_idx int, ndvi_diff double, changed int")
     R.write_change_rasters(d, str(tmp_path / "diff"), ["run_id"])
     assert dict(spark.read.parquet(str(tmp_path / "diff")).dtypes)["changed"] == "tinyint"
+
+
+def test_spans_of_zones_are_dealt_and_never_broadcast(spark, tmp_path):
+    """A file of few zones may hold any number of spans, so its size must not decide how they meet the pixels."""
+    zones = spark.range(40).selectExpr("concat('z', id) AS zone_id", "CAST(id * 3 % 60 AS DOUBLE) AS x", "CAST(-(id * 7 % 50) AS DOUBLE) AS y")
+    zones.write.parquet(f"{tmp_path}/zones")
+    spark.range(16 * 16).selectExpr("CAST(id / 16 AS INT) AS row_idx", "CAST(id % 16 AS INT) AS col_idx", "CAST(id AS DOUBLE) AS v").write.parquet(f"{tmp_path}/pixels")
+    z = spark.read.parquet(f"{tmp_path}/zones").select("zone_id", G.box(F.col("x") - 8.5, F.col("y") - 8.5, F.col("x") + 8.5, F.col("y") + 8.5).alias("geometry"))
+    grid = R.Grid(0.0, 0.0, 10.0, -10.0, 16, 16)
+    assert T.zone_spans(z, grid, "zone_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    met = T.zonal_pixels(z, spark.read.parquet(f"{tmp_path}/pixels"), grid, "zone_id", ["v"])
+    joins = [line for line in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "Inner" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    want = {(f"z{k}", r, p) for k in range(40) for r in range(16) for p in range(16)
+            if abs(10 * p + 5 - k * 3 % 60) < 8.5 and abs(10 * r + 5 - k * 7 % 50) < 8.5}
+    assert {(r.zone_id, r.row_idx, r.col_idx) for r in met.collect()} == want
