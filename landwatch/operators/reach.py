@@ -1,6 +1,7 @@
 """What lies within reach of each change, counted and searched without listing pairs.
 
-Changes and assets meet by the grid cells of the distance join. Inside a cell both sides become trees of boxes; a pair
+A change goes to one grid cell, an asset to every cell from which it can be reached; changes wider than a cell meet assets
+by the cells of the distance join, apart from the others. Inside a cell both sides become trees of boxes; a pair
 of nodes is settled as a whole once its least and greatest distance (and height difference) fall in one class, and
 only the others are opened. Exact distances, by the kernel of the distance join, are left for what a border of a class
 cuts. Work on pairs is held in steps of bounded size.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landwatch.functions import kernels as K
-from landwatch.operators.proximity import in_cells
+from landwatch.operators.proximity import on_grid
 from landwatch.operators.skew import salted_sides
 
 #: Children of a node, node pairs of a step, metres that cover float noise of bounds, metres within which distances may round to the same millimetre.
@@ -249,12 +250,19 @@ def _met(changes: pa.Table, assets: pa.Table):
         yield Meeting(left, right), own, item, lone, owner
 
 
-def _sides(changes: DataFrame, assets: DataFrame, max_distance_m: float, within: list[str], carry: list[str], by: list[str], cell_rows: int):
-    """Both sides by cell and salt as the kernels read them. ``changes`` has _height and _kind, ``assets`` _height."""
-    left, right, _, _ = in_cells(changes, assets, max_distance_m)
+def _sides(changes: DataFrame, assets: DataFrame, max_distance_m: float, within: list[str], carry: list[str], by: list[str], cell_rows: int, ids: bool):
+    """Both sides by cell and salt as the kernels read them, with their ids if asked for. ``changes`` has _height and _kind, ``assets`` _height."""
+    left, right, n, _, _ = on_grid(changes, assets, max_distance_m, fold=2)
     for k in within:  # null keys meet nothing
         left, right = left.where(c(k).isNotNull()), right.where(c(k).isNotNull())
-    cell = [*within, "cell_x", "cell_y"]
+    cell = [*within, "_wide", "cell_x", "cell_y"]
+    wide = lambda yes, no: F.when(c("_wide"), yes).otherwise(no)
+    left = left.withColumn("_wide", (c("c_x1") - c("c_x0") > 1) | (c("c_y1") - c("c_y0") > 1) | F.lit(n < 4))
+    left = (left.withColumn("_ux", F.explode(F.sequence(c("c_x0"), wide(c("c_x1"), c("c_x0")))))
+            .withColumn("cell_y", F.explode(F.sequence(c("c_y0"), wide(c("c_y1"), c("c_y0"))))).withColumn("cell_x", F.pmod("_ux", F.lit(n))))
+    right = right.withColumn("_wide", F.explode(F.array(F.lit(False), F.lit(True))))
+    right = (right.withColumn("_vx", F.explode(F.sequence(wide(c("a_x0"), c("a_x0") - 1), wide(c("a_x1"), F.least(c("a_x1"), c("a_x0") + n - 2)))))
+             .withColumn("cell_y", F.explode(F.sequence(wide(c("a_y0"), c("a_y0") - 1), c("a_y1")))).withColumn("cell_x", F.pmod("_vx", F.lit(n))))
     same = lambda *cols: F.xxhash64(*cols, *[c(k).isNull() if isinstance(k, str) else k.isNull() for k in cols])
     left = left.withColumns({"_first_x": c("_ux") == c("c_x0"), "_first_y": c("cell_y") == c("c_y0")}).withColumn(
         "_item", same("change_geometry", "_height", "_kind", "_first_x", "_first_y", "c_zone", "c_south")).withColumn("_class", same(*carry) if carry else F.lit(0).cast("long"))
@@ -263,6 +271,8 @@ def _sides(changes: DataFrame, assets: DataFrame, max_distance_m: float, within:
     left = left.select(*dict.fromkeys([*cell, "change_id", *carry]), "c_zone", "c_south", "c_flat", "c_poly", "_height", "_kind", "_first_x", "_first_y", "_item", "_class")
     right = right.select(*cell, "asset_id", *by, "a_flat", "a_poly", "_height", "_first_x", "_first_y", "_item", "_by")
     left, right, salts = salted_sides(left, right, cell, "change_id", "asset_id", cell_rows)
+    if not ids:
+        left, right = left.drop(*{"change_id"} - {*carry}), right.drop(*{"asset_id"} - {*by})
     return left.groupBy(*cell, *salts).cogroup(right.groupBy(*cell, *salts))
 
 
@@ -295,7 +305,7 @@ def nearest_in_reach(changes: DataFrame, assets: DataFrame, max_distance_m: floa
             made.append(pa.table([own["change_id"].take(pa.array(row)), pa.array(np.where(lead, counts[item][row], 0)), pa.array(d[pick]), assets_of.take(pa.array(least[j[pick]]))], names=names))
         return pa.concat_tables(made) if made else pa.table([pa.array([], T_) for T_ in (left["change_id"].type, pa.int64(), pa.float64(), right["asset_id"].type)], names=names)
 
-    found = _sides(changes, assets, max_distance_m, within, [], [], cell_rows).applyInArrow(run, schema)
+    found = _sides(changes, assets, max_distance_m, within, [], [], cell_rows, True).applyInArrow(run, schema)
     nearest = F.min_by("asset_id", F.struct(F.round("distance_meters", 3), "asset_id"))
     return found.groupBy("change_id").agg(F.sum("n").alias("asset_count"), F.min("distance_meters").alias("nearest_m"), nearest.alias("nearest_asset_id"))
 
@@ -337,4 +347,4 @@ def pair_classes(changes: DataFrame, assets: DataFrame, max_distance_m: float, d
         kinds_ = [*[left[k].type for k in carry], *[right[k].type for k in by], pa.float64(), pa.float64(), pa.int64()]
         return pa.table([pa.array([], x) for x in kinds_], names=schema.names)
 
-    return _sides(changes, assets, max_distance_m, within, carry, by, cell_rows).applyInArrow(run, schema)
+    return _sides(changes, assets, max_distance_m, within, carry, by, cell_rows, False).applyInArrow(run, schema)

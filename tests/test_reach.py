@@ -71,3 +71,31 @@ def test_dense_places_measure_few_pairs(spark, monkeypatch):
     least = np.empty(400)
     least[met.a.order] = far.min(axis=1)
     assert np.allclose(best, least)
+
+
+@pytest.mark.parametrize("rows", [50_000, 7])
+def test_wide_changes_meet_each_asset_once(spark, rows):
+    """Changes of several cells, one beyond the antimeridian, beside narrow ones; assets of several cells and on borders of cells."""
+    size = 360.0 / int(360.0 / (4 * 500.0 * X.MARGIN / X.SHORTEST_DEGREE_M))
+    x, y = size * round(-121.6 / size), size * round(39.7 / size)
+    ch = spark.createDataFrame([(f"c{k}", "p", g) for k, g in enumerate([box(x, y, 0.0003), box(x + 0.001, y, 0.03), box(x, y + 0.012, 0.011), box(179.9995, 10.0, 0.0004), box(x, y, 0.05)])],
+                               f"change_id string, aoi_id string, geometry {GEOMETRY_DDL}")
+    points = [("Point", [[[(x + u, y + v)]]]) for u in (-0.055, -0.02, -0.004, 0.0, 0.004, 0.02, 0.055) for v in (-0.055, -0.004, 0.0, 0.02)]
+    shapes = [*points, ("LineString", [[[(x - 0.1, y), (x + 0.1, y + 0.01)]]]), ("Point", [[[(-179.9995, 10.001)]]]), box(x + 0.03, y, 0.02)]
+    a = spark.createDataFrame([(f"a{k}", "p", 3, g) for k, g in enumerate(shapes)], f"asset_id string, aoi_id string, asset_type int, geometry {GEOMETRY_DDL}")
+    plain = lambda df: sorted((r.change_id, r.asset_count, round(r.nearest_m, 6), r.nearest_asset_id) for r in df.collect())
+    want = plain(X.matched_changes(X.distance_join(ch, a, 500.0, within=["aoi_id"])))
+    assert plain(R.nearest_in_reach(ch, a, 500.0, within=["aoi_id"], cell_rows=rows)) == want and len(want) == 5
+
+
+def test_a_narrow_change_is_shuffled_once(spark, monkeypatch):
+    """Narrow boxes stand in one group each; before, in four and more, and were shuffled again to be salted."""
+    real, seen = R.salted_sides, []
+    monkeypatch.setattr(R, "salted_sides", lambda left, right, *rest: seen.append(left) or real(left, right, *rest))
+    ch = spark.createDataFrame([(f"c{k}", "p", box(-121.6 + 0.0011 * k, 39.7 + 0.0017 * k, 0.0008), None, 0) for k in range(60)],
+                               f"change_id string, aoi_id string, geometry {GEOMETRY_DDL}, _height double, _kind long")
+    a = spark.createDataFrame([("a", "p", 3, ("Point", [[[(-121.6, 39.7)]]]), None, 1)], f"asset_id string, aoi_id string, asset_type int, geometry {GEOMETRY_DDL}, _height double, criticality int")
+    classes = R.pair_classes(ch, a, 500.0, [100.0], S.rise_steps(), ["aoi_id"], ["criticality"], within=["aoi_id"])
+    assert seen[0].count() == 60
+    joins = [line for line in classes._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("SortMergeJoin" in line and "LeftOuter" in line for line in joins)
